@@ -29,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose chance of any toxic grade is below one half."""
+    """Documents whose chance of any toxic grade is below the operator's threshold."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return drop_ids(docs, toxicity.toxicity(docs, model).where("toxic").select("doc_id"))
 

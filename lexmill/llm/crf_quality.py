@@ -178,13 +178,13 @@ def fit(x: np.ndarray, length: np.ndarray, n_lines: np.ndarray, good: np.ndarray
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta - 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     model = Field(theta[:-4], theta[-4:].reshape(2, 2))
-    # calibration of the aggregated score on the same rows
+    # calibration of the aggregated score on the same rows, both labels with one weight, since bad documents are few
+    share = np.where(good, 0.5 / max(good.mean(), 1e-9), 0.5 / max(1 - good.mean(), 1e-9))
     s = np.clip(model.score(x, length, n_lines), 1e-6, 1 - 1e-6)
     z, a, b = np.log(s / (1 - s)), 1.0, 0.0
     for _ in range(300):
-        q = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30))) - good
-        w = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        w = w * (1 - w) + 1e-6
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        q, w = share * (p - good), share * p * (1 - p) + 1e-6
         g = np.array([(q * z).mean() + 1e-3 * (a - 1), q.mean() + 1e-3 * b])
         h = np.array([[(w * z * z).mean() + 1e-3, (w * z).mean()], [(w * z).mean(), w.mean() + 1e-3]])
         move = np.linalg.solve(h, g)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -16,31 +17,56 @@ from .common import WORDS, texts_of
 #: Labelled documents that the model is fitted on at most, for each label: those with the smallest hash of their id.
 TRAIN_DOCS = 2500
 #: A word is a feature if it is in so many fitted documents of a label and its log odds ratio is so many standard errors from 0.
-LEAST_DOCS, LEAST_Z = 4, 3.3
+LEAST_DOCS, LEAST_Z = 5, 4.0
+#: Besides the word itself its beginnings of these lengths are features, so that inflected forms share a weight.
+BEGINNINGS = (3, 4, 5, 6)
+#: Distinct words that a worker remembers the features of; beyond it the memory starts anew.
+REMEMBERED = 1_000_000
+
+
+def features(word: str) -> list[str]:
+    """The word, and its beginnings marked by a hyphen."""
+    return [word, *(word[:n] + "-" for n in BEGINNINGS if len(word) > n)]
+
+
+def count_features(words: dict[str, int]) -> Counter:
+    out: Counter = Counter()
+    for w, n in words.items():
+        for f in features(w):
+            out[f] += n
+    return out
 
 
 @dataclass(frozen=True)
 class Ordinal:
-    """P(grade > k) = sigmoid(weights . log(1 + count) - thresholds[k]); one weight of a word for all thresholds."""
+    """P(grade > k) = sigmoid(weights . log(1 + count) - thresholds[k]); one weight of a feature for all thresholds."""
 
     weights: dict[str, float]
     thresholds: tuple[float, ...]
+    _known: dict[str, tuple[str, ...]] = field(default_factory=dict, compare=False, repr=False)
 
     def above(self, total: np.ndarray) -> np.ndarray:
         z = np.clip(np.subtract.outer(total, np.array(self.thresholds)), -40, 40)
         return 1 / (1 + np.exp(-z))
 
     def total(self, text: str) -> float:
-        get = self.weights.get
-        hits = Counter(filter(self.weights.__contains__, WORDS.findall(text.lower())))
-        return float(sum(get(w) * np.log1p(n) for w, n in sorted(hits.items())))
+        known, hits = self._known, Counter()
+        for w, n in Counter(WORDS.findall(text.lower())).items():
+            found = known.get(w)
+            if found is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                found = known[w] = tuple(f for f in features(w) if f in self.weights)
+            for f in found:
+                hits[f] += n
+        return float(sum(self.weights[f] * np.log1p(n) for f, n in sorted(hits.items())))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, shape: tuple[int, int], grade: np.ndarray, steps: int = 400, decay: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, shape: tuple[int, int], grade: np.ndarray, steps: int = 600, decay: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds of the penalised cumulative-link likelihood; the features are a sparse matrix in coordinates."""
     n, d = shape
     k = int(grade.max(initial=0))
@@ -64,15 +90,21 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, shape: tuple[
     return theta[:d], theta[d] + np.concatenate(([0], np.cumsum(np.exp(theta[d + 1 :]))))
 
 
-def fit(bags: list[dict[str, int]], label: list[int], grades: int = 2) -> Ordinal:
+def fit(bags: list[dict[str, int]], label: list[int], grades: int = 2, keys: list[tuple[int, ...]] | None = None, odds_shift: float = 0.0) -> Ordinal:
     """A model of documents as word counts. label: a grade of 0 or more.
 
     Where labels are only 0 and 1 and more grades are asked for, the rows with label 1 are graded 1 .. grades by
-    quantiles of how many occurrences of words with a positive log odds ratio they have; ties go to the lower grade.
-    Near copies (same rarest hash of their words) count once.
+    quantiles of how often features with a positive log odds ratio occur in them; ties go to the lower grade.
+    Of rows of one label that share any of their keys (near copies) the first counts. odds_shift: log of how much
+    rarer label 1 is outside than among the rows fitted on.
     """
-    first = sorted({(min((hash_of(w) for w in b), default=0), y): i for i, (b, y) in reversed([*enumerate(zip(bags, label, strict=True))])}.values())
-    bags, y = [bags[i] for i in first], np.array([label[i] for i in first], np.int64)
+    first, met = [], set()
+    for i, (k, y) in enumerate(zip(keys or [(i,) for i in range(len(bags))], label, strict=True)):
+        own = {(j, x, y > 0) for j, x in enumerate(k)}
+        if not own & met:
+            first.append(i)
+        met |= own
+    bags, y = [count_features(bags[i]) for i in first], np.array([label[i] for i in first], np.int64)
     toxic, clean = Counter(), Counter()
     for b, k in zip(bags, y, strict=True):
         (toxic if k else clean).update(b.keys())
@@ -96,13 +128,13 @@ def fit(bags: list[dict[str, int]], label: list[int], grades: int = 2) -> Ordina
     cells = [(i, at[w], np.log1p(n)) for i, b in enumerate(bags) for w, n in b.items() if w in at]
     row, col, val = (np.array(x) for x in zip(*cells, strict=True)) if cells else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     weights, cut = fit_ordinal(row, col, val, (len(bags), len(words)), y)
-    return Ordinal({w: float(x) for w, x in zip(words, weights, strict=True)}, tuple(float(x) for x in cut))
-
+    return Ordinal({w: float(x) for w, x in zip(words, weights, strict=True)}, tuple(float(x) + odds_shift for x in cut))
 
-def hash_of(word: str) -> int:
-    import zlib
 
-    return zlib.crc32(word.encode("utf-8", "replace"))
+def copy_keys(words: list[str]) -> tuple[int, ...]:
+    """Four minima of hashed word triples; near copies share some, other texts hardly ever."""
+    hashes = {zlib.crc32(" ".join(t).encode("utf-8", "replace")) for t in zip(words, words[1:] or [""], words[2:] or [""], strict=False)}
+    return tuple(min(((h ^ m) * 0x9E3779B1 % 2**32 for h in hashes), default=i) for i, m in enumerate((0, 0x5BD1E995, 0x1B873593, 0x2545F491)))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, grades: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Ordinal:
@@ -116,16 +148,21 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, grades: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = [Counter(WORDS.findall(t.lower())) for t in texts_of(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(x) for x in bags], pa.string()), pa.array([np.array([*x.values()], np.uint32).tobytes() for x in bags], pa.binary())], names=["y", "words", "counts"])
+            words = [WORDS.findall(t.lower()) for t in texts_of(b.column(1))]
+            bags = [Counter(w) for w in words]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([copy_keys(w) for w in words], pa.list_(pa.int64())), pa.array([" ".join(x) for x in bags], pa.string()), pa.array([np.array([*x.values()], np.uint32).tobytes() for x in bags], pa.binary())], names=["y", "keys", "words", "counts"])
 
     found = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
-    rows = found.select("__y", "__text").mapInArrow(run, "y int, words string, counts binary").collect()  # 2 x most rows
-    rows.sort(key=lambda r: (r[0], r[1], r[2]))
-    return fit([dict(zip(r[1].split(" ") if r[1] else [], np.frombuffer(r[2], np.uint32).tolist(), strict=True)) for r in rows], [max(0, r[0]) for r in rows], grades)
+    rows = found.select("__y", "__text").mapInArrow(run, "y int, keys array<long>, words string, counts binary").collect()  # 2 x most rows
+    rows.sort(key=lambda r: (r.y, r.words, r.counts))
+    n = {r[0]: r[1] for r in known.groupBy(F.col("__y") > 0).count().collect()}  # two rows
+    here = sum(r.y > 0 for r in rows)
+    shift = float(np.log(here / (len(rows) - here) * n[False] / n[True])) if 0 < here < len(rows) else 0.0
+    bags = [dict(zip(r.words.split(" ") if r.words else [], np.frombuffer(r.counts, np.uint32).tolist(), strict=True)) for r in rows]
+    return fit(bags, [max(0, r.y) for r in rows], grades, [tuple(r["keys"]) for r in rows], shift)
 
 
-def toxicity(docs: DataFrame, model: Ordinal, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, model: Ordinal, threshold: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, severity, grade, toxic) of every row: expected grade, likeliest grade (ties: the lower), and P(grade > 0) >= threshold.
 
     Null and empty texts have no words and so the grade of the thresholds alone. Null ids and repeated rows stay; other

@@ -5,8 +5,9 @@
    group. Groups so hold similar documents, and need no pairs within.
 3. The matrix: the tokens that the members of each group have in their prefixes, united by group. Prefixes follow one
    global order, rare tokens first, and are longer than the least by n // 25 tokens, so that a pair that links has at
-   least that many of them in common. A document's bound for a group is how many of its prefix tokens the group's union
-   holds; groups below the bound stay closed.
+   least that many of them in common, early enough in both orders to leave room for the rest of the overlap. A
+   document's bound for a group is how many such tokens of its prefix the group's union holds; groups below the bound
+   stay closed.
 4. Open groups: their members, in blocks of one size class, meet the documents that qualify; blocks whose union holds
    too few of a document's tokens are skipped, all others are compared exactly.
 5. Components over all links found.
@@ -30,8 +31,8 @@ BLOCK_BYTES = 2_000_000
 MINIMA, AGREE = 8, 2
 #: Documents of a block on either side of a comparison.
 SIDE = 256
-#: A block of documents reports the tokens that so many of them have; the most frequent tokens of all reports are known to every task.
-REPORT, FREQUENT = 4, 1 << 18
+#: A block of documents reports the tokens that so many different sets of it hold; the most frequent tokens of all reports are known to every task.
+REPORT, FREQUENT = 2, 1 << 18
 
 _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(1, 2**63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,12 +102,13 @@ def _sketch(k: int):  # noqa: ANN202
             for i, j in runs([len(t or "") for t in texts], BLOCK_BYTES):
                 own = sets(texts[i:j], k)
                 keys = [_minima(s) for s in own]
-                every = np.sort(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in own]
+                every = np.sort(np.concatenate([*dict(zip(digests, own, strict=True)).values()]))
                 token, count = _counts(every)
                 token, count = token[count >= REPORT], count[count >= REPORT]
                 m = j - i
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, m), pa.array([len(s) for s in own], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in own], pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                    [ids.slice(i, m), pa.array([len(s) for s in own], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
                      pa.array([token.tobytes(), *[None] * (m - 1)], pa.binary()), pa.array([count.astype(np.int64).tobytes(), *[None] * (m - 1)], pa.binary())],
                     names=["id", "n", "digest", "keys", "tokens", "counts"])
 
@@ -131,7 +133,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(k: int, percent: int, tokens: np.ndarray, levels: np.ndarray):  # noqa: ANN202
-    """Rows (token, q, n, g, gs) of the prefix tokens of each document."""
+    """Rows (token, q, n, rest, g, gs) of the prefix tokens of each document; rest: tokens that come later in its order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,7 +151,7 @@ def _prefixes(k: int, percent: int, tokens: np.ndarray, levels: np.ndarray):  #
                     times.append(len(out[-1]))
                     sizes.append(n)
                 rep = lambda x: np.repeat(x, times)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(rep(ids[i:j])), pa.array(rep(np.array(sizes, np.int32))), pa.array(rep(g[i:j])), pa.array(rep(gs[i:j]))], names=["token", "q", "n", "g", "gs"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(rep(ids[i:j])), pa.array(rep(np.array(sizes, np.int32))), pa.array(np.concatenate([np.arange(n - 1, n - 1 - t, -1, dtype=np.int32) for n, t in zip(sizes, times, strict=True)])), pa.array(rep(g[i:j])), pa.array(rep(gs[i:j]))], names=["token", "q", "n", "rest", "g", "gs"])
 
     return run
 
@@ -157,33 +159,38 @@ def _prefixes(k: int, percent: int, tokens: np.ndarray, levels: np.ndarray):  #
 def _matrix(percent: int):  # noqa: ANN202
     """From rows sorted by token: (q, n, g) for each token of q that another group's prefix union holds; q is of the smaller group."""
 
-    def pairs(q: np.ndarray, n: np.ndarray, g: np.ndarray, gs: np.ndarray) -> list[np.ndarray]:
-        """One token's rows. A row meets each other group once, if one of its members here has a fitting size."""
+    def fits(n: np.ndarray, rest: np.ndarray, other: np.ndarray, other_rest: np.ndarray, spare: int = 0) -> np.ndarray:
+        """Can this be one of the first shared tokens of a link? Of the first slack() ones, each leaves room for the rest of the overlap."""
+        least, most = np.minimum(n, other).astype(np.int64), np.maximum(n, other).astype(np.int64)
+        overlap = -((-percent * (least + most)) // (100 + percent))
+        return (100 * least >= percent * most) & (np.minimum(rest, other_rest) + slack(least) + spare >= overlap)
+
+    def pairs(q: np.ndarray, n: np.ndarray, rest: np.ndarray, g: np.ndarray, gs: np.ndarray) -> list[np.ndarray]:
+        """One token's rows. A row meets each other group once, if a member of the group could fit."""
         order = np.lexsort((n, g))
-        q, n, g, gs = q[order], n[order], g[order], gs[order]
+        q, n, rest, g, gs = q[order], n[order], rest[order], g[order], gs[order]
         lead = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
         own, size = g[lead], gs[lead]
         stop = np.concatenate((lead[1:], [len(g)]))
         out = []
         for x in range(len(own)):  # group x as the larger one
             ask = np.flatnonzero((gs < size[x]) | ((gs == size[x]) & (g > own[x])))
-            ask = ask[g[ask] != own[x]]
             if not len(ask):
                 continue
             there = n[lead[x] : stop[x]]
             low = np.searchsorted(there, (percent * n[ask].astype(np.int64) + 99) // 100)
-            fit = low < len(there)
-            fit[fit] = need_fits(there[low[fit]], n[ask][fit], percent)
-            ask = ask[fit]
+            ask, low = ask[low < len(there)], low[low < len(there)]
+            # the smallest member that is large enough needs the least overlap; the group's largest rest allows the most
+            ask = ask[fits(n[ask], rest[ask], there[low], np.full(len(ask), rest[lead[x] : stop[x]].max()), 1)]  # 1: of rounding
             out.append(np.stack([q[ask], n[ask].astype(np.int64), np.full(len(ask), own[x])]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-        names = ("token", "q", "n", "g", "gs")
+        names = ("token", "q", "n", "rest", "g", "gs")
 
         def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            token, q, n, g, gs = cols
+            token, q, n, rest, g, gs = cols
             if not len(token):
                 return
             lead = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
@@ -192,11 +199,11 @@ def _matrix(percent: int):  # noqa: ANN202
             two = lead[mixed & (stop - lead == 2)]
             swap = (gs[two] > gs[two + 1]) | ((gs[two] == gs[two + 1]) & (g[two] < g[two + 1]))
             a, b = np.where(swap, two + 1, two), np.where(swap, two, two + 1)  # a asks, b is of the larger group
-            fit = (100 * np.minimum(n[a], n[b]).astype(np.int64) >= percent * np.maximum(n[a], n[b]).astype(np.int64))
+            fit = fits(n[a], rest[a], n[b], rest[b])
             out = [np.stack([q[a[fit]], n[a[fit]].astype(np.int64), g[b[fit]]])]
             for x in np.flatnonzero(mixed & (stop - lead > 2)):
                 part = slice(lead[x], stop[x])
-                out += pairs(q[part], n[part], g[part], gs[part])
+                out += pairs(q[part], n[part], rest[part], g[part], gs[part])
             rows = np.concatenate(out, axis=1)
             for lo in range(0, rows.shape[1], 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(r[lo : lo + (1 << 17)]) for r in rows], names=["q", "n", "g"])
@@ -213,12 +220,6 @@ def _matrix(percent: int):  # noqa: ANN202
     return run
 
 
-def need_fits(size: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """Sizes can link: the smaller is at least percent of the larger."""
-    a, b = np.minimum(size, n).astype(np.int64), np.maximum(size, n).astype(np.int64)
-    return 100 * a >= percent * b
-
-
 def compare(queries: list[np.ndarray], members: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """(query, member) of all links of a block. The block stays closed to a query of which its union holds too few tokens."""
     union, owner = np.concatenate(members) if members else np.zeros(0, np.uint64), np.repeat(np.arange(len(members)), [len(m) for m in members])
@@ -332,7 +333,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
 
     # the matrix, and what qualifies
     side, _ = small(placed)
-    prefixes = texts.join(side, F.col("id") == F.col("__m")).select("id", "text", "g", "gs").mapInArrow(_prefixes(k, percent, token, levels), "token long, q long, n int, g long, gs long")
+    prefixes = texts.join(side, F.col("id") == F.col("__m")).select("id", "text", "g", "gs").mapInArrow(_prefixes(k, percent, token, levels), "token long, q long, n int, rest int, g long, gs long")
     hits = prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_matrix(percent), "q long, n long, g long")
     least_n = F.floor((F.col("n") * percent + 99) / 100)
     found = hits.groupBy("q", "n", "g").count().where(F.col("count") >= F.floor(least_n / 25) + 1).select("q", "n", "g")

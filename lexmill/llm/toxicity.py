@@ -21,7 +21,7 @@ LEAST_DOCS, LEAST_Z = 5, 4.0
 #: Besides the word itself its beginnings of these lengths are features, so that inflected forms share a weight.
 BEGINNINGS = (3, 4, 5, 6)
 #: Distinct words that a worker remembers the features of; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 def features(word: str) -> list[str]:

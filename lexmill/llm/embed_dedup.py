@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import components, cut, splitmix
 
 #: Tables, projections of a table, width of a quantum in units of the normalised vectors.
-TABLES, PROJECTIONS, WIDTH = 64, 16, 2.0
+TABLES, PROJECTIONS, WIDTH = 64, 14, 2.0
 #: Rows of a bucket that are compared in one block of the cosine check.
 BLOCK = 1024
 #: Rows of a bucket that are held for the cheap test; all rows of larger buckets pass it.
@@ -71,7 +71,7 @@ def _marked(key: np.ndarray, sign: np.ndarray) -> np.ndarray:
         at = at[key[at] == key[at + shift]]
         open_ = ~(mark[at] & mark[at + shift])
         some = at[open_]
-        near = np.bitwise_count(sign[some] ^ sign[some + shift]).sum(1) <= SIGNS
+        near = np.bitwise_count((sign[some] ^ sign[some + shift]).view(np.uint64)).sum(1) <= SIGNS  # of signed numbers it would count the absolute value
         mark[some[near]] = mark[some[near] + shift] = True
         shift += 1
     return mark

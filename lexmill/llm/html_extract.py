@@ -182,7 +182,7 @@ def main_texts(pages: list[Page]) -> list[str]:
     for p, at in zip(pages, where, strict=True):
         chosen = [x for x in p.texts if x.main and not x.aside]
         if not any(x.main for x in p.texts):
-            chosen = [x for x, s in zip(p.texts, at, strict=True) if not x.aside and (s == best or deep and x.path[: len(deep)] == deep)]
+            chosen = [x for x, s in zip(p.texts, at, strict=True) if not x.aside and (deep is None or s == best or x.path[: len(deep)] == deep)]
             chosen = chosen or [x for x in p.texts if not x.aside and not x.link]
         blocks: dict[int, list[str]] = defaultdict(list)
         for x in chosen:

@@ -59,7 +59,7 @@ class Encoder:
             import sentencepiece
 
             self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.cuts = False
+            self.cuts, self.merge, self.special, self.split = False, None, {}, None
             return
         from tokenizers import Tokenizer
 
@@ -94,6 +94,8 @@ class Encoder:
 
     def _encode(self, pieces: Iterable[str]) -> list[tuple[str, list[int]]]:
         pieces = list(pieces)
+        if not pieces:
+            return []
         own = {p: [self.special[p]] for p in pieces if p in self.special}
         rest = [p for p in pieces if p not in own]
         if self.merge is not None:

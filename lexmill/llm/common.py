@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,12 @@ def runs(n_chars: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield i, len(n_chars)
 
 
+def text_blocks(column: pa.Array, most: int) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(i, j, texts i to j) of a column, at most so many bytes at a time: only one block's texts are Python strings at once."""
+    for i, j in runs(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most):
+        yield i, j, column.slice(i, j - i).to_pylist()
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, elementwise."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

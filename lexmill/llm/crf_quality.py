@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, texts_of
+from .common import runs, text_blocks
 
 #: Labelled documents that the model is fitted on at most: those with the smallest hash of their id.
 TRAIN_DOCS = 4000
@@ -211,9 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, y = texts_of(b.column(1)), b.column(0).to_pylist()
-            for i, j in runs([len(t) for t in texts], BLOCK_CHARS):
-                x, length, n = line_features(texts[i:j])
+            y = b.column(0).to_pylist()
+            for i, j, texts in text_blocks(b.column(1), BLOCK_CHARS):
+                x, length, n = line_features([t or "" for t in texts])
                 at = np.cumsum(n) - n
                 yield pa.RecordBatch.from_pydict({"y": pa.array(y[i:j], pa.int32()), "x": pa.array([x[a : a + k].astype(np.float32).tobytes() for a, k in zip(at, n, strict=True)], pa.binary()), "len": pa.array([length[a : a + k].astype(np.float64).tobytes() for a, k in zip(at, n, strict=True)], pa.binary())})
 
@@ -240,7 +240,7 @@ def quality(docs: DataFrame, model: Field, threshold: float = 0.7, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = score_texts(texts_of(b.column(1)), model)
+            s = np.concatenate([score_texts([t or "" for t in texts], model) for _, _, texts in text_blocks(b.column(1), BLOCK_CHARS)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     scored = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, runs, small, splitmix
+from .common import components, cut, small, splitmix, text_blocks
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_500_000
 #: Minima of a set that grouping looks at, and how many must agree with the leader.
 MINIMA, AGREE = 8, 2
 #: Documents of a block on either side of a comparison.
@@ -98,9 +98,9 @@ def slack(n: int) -> int:
 def _sketch(k: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for i, j in runs([len(t or "") for t in texts], BLOCK_BYTES):
-                own = sets(texts[i:j], k)
+            ids = b.column(0)
+            for i, j, texts in text_blocks(b.column(1), BLOCK_BYTES):
+                own = sets(texts, k)
                 keys = [_minima(s) for s in own]
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in own]
                 every = np.sort(np.concatenate([*dict(zip(digests, own, strict=True)).values()]))
@@ -137,11 +137,10 @@ def _prefixes(k: int, percent: int, tokens: np.ndarray, levels: np.ndarray):  #
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
             ids, g, gs = (b.column(c).to_numpy() for c in (0, 2, 3))
-            for i, j in runs([len(t or "") for t in texts], BLOCK_BYTES):
+            for i, j, texts in text_blocks(b.column(1), BLOCK_BYTES):
                 out, times, sizes = [], [], []
-                for s in sets(texts[i:j], k):
+                for s in sets(texts, k):
                     n = len(s)
                     p = min(n, n - need(n, percent) + slack(n))
                     if len(tokens):

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import runs, texts_of
+from .common import text_blocks
 from .pretokens import encoder, vocabulary_path
 
-BLOCK_CHARS = 1_000_000
+BLOCK_BYTES = 1_000_000
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -97,10 +97,10 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.j
 
         like = None
         for b in batches:
-            like, ids, texts = b.schema.field(0).type, b.column(0).to_pylist(), texts_of(b.column(1))
-            for i, j in runs([len(t) for t in texts], BLOCK_CHARS):
+            like, ids = b.schema.field(0).type, b.column(0).to_pylist()
+            for i, j, texts in text_blocks(b.column(1), BLOCK_BYTES):
                 rows: list[tuple] = []
-                for doc, coded in zip(ids[i:j], encode_block(texts[i:j], tokenizer, end_id), strict=True):
+                for doc, coded in zip(ids[i:j], encode_block([t or "" for t in texts], tokenizer, end_id), strict=True):
                     view, total = memoryview(coded), len(coded) // 4
                     for start, n in cuts(total, capacity):
                         rows += bins.put((doc, start, n, zlib.crc32(view[4 * start : 4 * (start + n)]), total))

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import runs, texts_of
+from .common import text_blocks
 from .pretokens import encoder, vocabulary_path
 
-#: Characters of a block, within which pre-tokens are made distinct before they are counted.
-BLOCK_CHARS = 2_000_000
+#: Bytes of a block, within which pre-tokens are made distinct before they are counted.
+BLOCK_BYTES = 2_000_000
 
 
 def count_block(texts: list[str], name: str) -> list[int]:
@@ -43,9 +44,8 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = texts_of(b.column(1))
-            counts = [n for i, j in runs([len(t) for t in texts], BLOCK_CHARS) for n in count_block(texts[i:j], tokenizer)]
+            counts = [n for _, _, texts in text_blocks(b.column(1), BLOCK_BYTES) for n in count_block([t or "" for t in texts], tokenizer)]
             n = np.asarray(counts, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64()), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, texts_of
+from .common import WORDS, text_blocks, texts_of
 
 #: Labelled documents that the model is fitted on at most, for each label: those with the smallest hash of their id.
 TRAIN_DOCS = 2500
@@ -22,6 +22,7 @@ LEAST_DOCS, LEAST_Z = 5, 4.0
 BEGINNINGS = (3, 4, 5, 6)
 #: Distinct words that a worker remembers the features of; beyond it the memory starts anew.
 REMEMBERED = 200_000
+BLOCK_BYTES = 1_000_000
 
 
 def features(word: str) -> list[str]:
@@ -172,7 +173,7 @@ def toxicity(docs: DataFrame, model: Ordinal, threshold: float = 0.2, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            above = model.above(np.array([model.total(t) for t in texts_of(b.column(1))]))
+            above = model.above(np.array([model.total(t or "") for _, _, texts in text_blocks(b.column(1), BLOCK_BYTES) for t in texts]))
             each = np.hstack((np.ones((len(above), 1)), above)) - np.hstack((above, np.zeros((len(above), 1))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(above.sum(1)), pa.array(each.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= threshold)], names=[id_col, "severity", "grade", "toxic"])
 

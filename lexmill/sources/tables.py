@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.cursor import Cursor, ParseFailure, run
-from . import android_package, bson, dex, json_text, keystore, regex_ast, s_expression, shell, zip_archive
+from . import android_package, bson, dalvik_bytecode, dex, json_text, keystore, regex_ast, s_expression, shell, zip_archive
 
 #: Name to (parser, reads bytes).
 FORMATS: dict[str, tuple[Callable[[Cursor], object], bool]] = {
     "json": (json_text.value, False), "s_expression": (s_expression.document, False), "regex": (regex_ast.alternation, False), "shell": (shell.script, False),
-    "bson": (bson.document, True), "zip": (zip_archive.archive, True), "apk": (android_package.package, True), "keystore": (keystore.keystore, True), "dex": (dex.executable, True),
+    "bson": (bson.document, True), "zip": (zip_archive.archive, True), "apk": (android_package.package, True), "keystore": (keystore.keystore, True), "dex": (dex.executable, True), "dalvik": (dalvik_bytecode.instructions, True),
 }
 VALUE = "value string, error struct<name string, message string, position bigint, depth int>"
 NODES = "node_id bigint, parent_id bigint, ordinal int, field string, type string, value string"

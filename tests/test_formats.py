@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexmill.operators.cursor import Cursor, ParseFailure, join_failures, run
-from lexmill.sources import android_package, bson, dex, json_text, keystore, regex_ast, s_expression, shell, tables, zip_archive
+from lexmill.sources import android_package, bson, dalvik_bytecode, dex, json_text, keystore, regex_ast, s_expression, shell, shell_text, tables, zip_archive
 
 NAMES = st.text(st.characters(min_codepoint=1, exclude_categories=["Cs"]))
 JSON = st.recursive(st.none() | st.booleans() | st.floats(allow_nan=False, allow_infinity=False) | st.text(st.characters(exclude_categories=["Cs"])), lambda x: st.lists(x, max_size=4) | st.dictionaries(NAMES, x, max_size=4), max_leaves=12)
@@ -161,3 +161,45 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r) for r in spark.table("items").collect()) == [(1, 0, "ab"), (1, 1, "cd"), (2, 0, "x")]
+
+
+def test_opcodes():
+    table = dalvik_bytecode.OPCODES
+    assert len(table) == 224 and len(dalvik_bytecode.CODES) == 224
+    assert [table[i][0] for i in (0x09, 0x2D, 0x3D, 0x51, 0x5F, 0x6D, 0x78, 0x8F, 0xAF, 0xCF, 0xD7, 0xE2, 0xFF)] == ["move-object/16", "cmpl-float", "if-lez", "aput-short", "iput-short", "sput-short", "invoke-interface/range", "int-to-short", "rem-double", "rem-double/2addr", "xor-int/lit16", "ushr-int/lit8", "const-method-type"]
+    assert all(i not in table for i in (0x3E, 0x43, 0x73, 0x79, 0x7A, 0xE3, 0xF9))
+
+
+def test_bytecode():
+    forms = {}
+    for code, (name, form) in dalvik_bytecode.OPCODES.items():
+        forms[form] = name
+    fill = {"a": 3, "b": 5, "c": 7, "literal": -2, "index": 9, "target": 4, "prototype": 6}
+    code = []
+    for form, name in forms.items():
+        fields = {n: fill[n] for n in dalvik_bytecode.LAYOUT[form][1] if n in fill}
+        if form in ("35c", "45cc"):
+            fields = {"index": 9, "registers": [1, 2, 3, 4, 5]} | ({"prototype": 6} if form == "45cc" else {})
+        if "count" in dalvik_bytecode.LAYOUT[form][1]:
+            fields |= {"registers": [4, 5, 6]}
+        if form == "21h":
+            fields["literal"] = -2 << (48 if name == "const-wide/high16" else 16)
+        code.append({"operation": name} | fields)
+    code += [{"operation": "packed-switch-payload", "first": -1, "targets": [3, 4]}, {"operation": "sparse-switch-payload", "keys": [1, 9], "targets": [2, 2]}, {"operation": "fill-array-data-payload", "width": 1, "data": b"abc"}]
+    got = run(dalvik_bytecode.instructions, dalvik_bytecode.write(code))
+    assert [{k: v for k, v in x.items() if k not in ("offset", "units")} for x in got] == code
+    with pytest.raises(ParseFailure):
+        run(dalvik_bytecode.instructions, b"\x3e\x00")
+
+
+def test_targets():
+    code = [{"operation": "packed-switch", "a": 0, "target": 6}, {"operation": "goto", "target": -3}, {"operation": "return-void"}, {"operation": "nop"}, {"operation": "packed-switch-payload", "first": 0, "targets": [3, 4]}]
+    got = dalvik_bytecode.with_target_indices(run(dalvik_bytecode.instructions, dalvik_bytecode.write(code)))
+    assert got[0]["target_index"] == 4 and got[1]["target_index"] == 0 and got[4]["target_indices"] == [1, 2]
+
+
+@pytest.mark.parametrize("text", ["A=1 B= cmd \"x $HOME ${y:-z} \\\"\" 'q r' a\\ b 2>&1 | b & (c; d) && { e; }", "cat <<E >o\nbody $x\nE\nf $(g `h`) $((1 + 2)) ${#v}", "! a || b\nc", "x=$(a; b) >f", ""])
+def test_shell_text(text):
+    tree = run(shell.script, text)
+    again = shell_text.script(tree)
+    assert run(shell.script, again) == tree, again

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import sequence as S
 from ..operators import columns as G
-from ..sources import tables, zip_archive
+from ..sources import android_package, dalvik_bytecode, dex, keystore, shell, shell_text, tables, zip_archive
 from ..sources import bson as bson_format
+from ..operators.cursor import run
+from .dex_tables import Executables
 from . import relational as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,3 +289,73 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _written(t(spark, sf_dir, "benchmark"), "item_id", "text", lambda k, x: f"A={k} echo '" + x.replace("\n", " ") + "' | sort -u > \"$HOME/out\" && (cd /; ls)", "string")
     return tables.node_table(data, "item_id", "data", "shell").select("item_id", "node_id", "parent_id", "type", "field", "value")
+
+
+def _executables(spark: SparkSession, sf_dir: str) -> Executables:
+    """A small executable for each benchmark item: class Lpkg/Item<id>; with one field and one method."""
+
+    def write(k: int, x: str) -> bytes:
+        strings = ["I", "LI", f"Lpkg/Item{k};", "Ljava/lang/Object;", "V", "count", "run", x[:20]]
+        data = {"static_fields": [], "instance_fields": [{"idx": 0, "access_flags": 2}], "direct_methods": [], "virtual_methods": [{"idx": 0, "access_flags": 1, "code_offset": 0}]}
+        return dex.write(strings, [0, 2, 3, 4], [(1, 3, [0, 1])], [(1, 0, 5)], [(1, 0, 6)], [{"class_idx": 1, "access_flags": 1, "superclass_idx": 2, "source_file_idx": 7 if k % 2 else 0xFFFFFFFF, "interfaces": [], "data": data}])
+
+    return Executables(_written(t(spark, sf_dir, "benchmark"), "item_id", "text", write), "item_id", "data")
+
+
+@query("dex_classes", "select item_id, 'Lpkg/Item' || item_id || ';' as class, 'Ljava/lang/Object;' as superclass, case when item_id % 2 = 1 then substring(text, 1, 20) end as source_file from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _executables(spark, sf_dir).classes().select("item_id", "class", "superclass", "source_file")
+
+
+@query("dex_methods", "select item_id, 'Lpkg/Item' || item_id || ';' as class, 'run' as name, 'V' as returns, 'I,Lpkg/Item' || item_id || ';' as parameters from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _executables(spark, sf_dir).methods().select("item_id", "class", "name", "returns", F.array_join("parameters", ",").alias("parameters"))
+
+
+@query("dex_members", "select item_id, unnest(['instance_fields', 'virtual_methods']) as kind, unnest(['count', 'run']) as name, unnest([2::bigint, 1::bigint]) as access_flags from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _executables(spark, sf_dir).members().select("item_id", "kind", "name", "access_flags")
+
+
+@query("dalvik_instructions", "select item_id, unnest([0, 1, 2]) as place, unnest(['const/16', 'add-int/lit8', 'return']) as operation, unnest([0, 2, 4]) as units from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = lambda k, x: dalvik_bytecode.write([{"operation": "const/16", "a": 0, "literal": k % 1000}, {"operation": "add-int/lit8", "a": 0, "b": 0, "literal": 1}, {"operation": "return", "a": 0}])
+    parsed = tables.parse_column(_written(t(spark, sf_dir, "benchmark"), "item_id", "text", code), "data", "dalvik")
+    return parsed.select("item_id", F.posexplode(F.from_json("value", "array<struct<operation string, offset int>>")).alias("place", "x")).select("item_id", "place", "x.operation", F.col("x.offset").alias("units"))
+
+
+@query("keystore_entries", "select item_id, 'key' || item_id as alias, item_id * 1000 as created from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    write = lambda k, x: keystore.write({"implementation": "JCEKS" if k % 2 else "JKS", "version": 2, "entries": [{"alias": f"key{k}", "created_millis": k * 1000, "private_key": x.encode(), "certificates": []}], "hash": bytes(20)})
+    parsed = tables.parse_column(_written(t(spark, sf_dir, "benchmark"), "item_id", "text", write), "data", "keystore")
+    return parsed.select("item_id", F.inline(F.from_json("value", "entries array<struct<alias string, created_millis bigint>>")["entries"])).withColumnRenamed("created_millis", "created")
+
+
+@query("apk_signing_pairs", "select item_id, unnest([7::bigint, 1114793335]) as id from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import struct
+    from datetime import UTC, datetime
+
+    def write(k: int, x: str) -> bytes:
+        data = zip_archive.write({"entries": [{"type": "file", "path": "a", "date": datetime(2000, 1, 1, tzinfo=UTC), "content": x.encode(), "compression": "store"}]})
+        at, end = data.index(zip_archive.CENTRAL), data.rindex(zip_archive.END)
+        block = android_package.write_block([(7, b"v"), (android_package.PADDING, bytes(k % 9))])
+        return data[:at] + block + data[at : end + 16] + struct.pack("<I", at + len(block)) + data[end + 20 :]
+
+    parsed = tables.parse_column(_written(t(spark, sf_dir, "benchmark"), "item_id", "text", write), "data", "apk")
+    return parsed.select("item_id", F.inline(F.from_json("value", "signing_block struct<pairs array<struct<id bigint>>>")["signing_block"]["pairs"]))
+
+
+@query("shell_round_trip", "select item_id, true as same from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def same(k: int, x: str) -> str:
+        tree = run(shell.script, f"A={k} echo '" + x + "' \"$HOME\" > out && (cd /; ls) | wc -l")
+        return str(run(shell.script, shell_text.script(tree)) == tree).lower()
+
+    return _written(t(spark, sf_dir, "benchmark"), "item_id", "text", same, "string").select("item_id", C("data").cast("boolean").alias("same"))
+
+
+# names and types of smali text
+NAME = "[\\p{L}\\p{N}_$-]+"
+over("smali_type_descriptors", "part", "p_partkey", "select p_partkey, 'Lpkg/P' || p_partkey || ';' as class_type, 'I' as element, 2::int as dimensions from part",
+     class_type=lambda: G.parse(G.regex(f"L{NAME}(?:/{NAME})*;"), F.concat(F.lit("Lpkg/P"), C("p_partkey").cast("string"), F.lit(";"))), element=lambda: G.parse(G.object_({"_d": G.many("\\["), "t": G.regex("[ZBSCIJFDV]")}), F.lit("[[I"))["t"], dimensions=lambda: F.size(G.parse(G.object_({"d": G.many("\\["), "_t": G.regex("[ZBSCIJFD]")}), F.lit("[[I"))["d"]))

@@ -30,19 +30,21 @@ def sint(b: Column, offset: Column | int, width: int, little: bool = True) -> Co
     return F.when(u >= 1 << (8 * width - 1), u - (1 << 8 * width)).otherwise(u)
 
 
-def _leb_length(b: Column, offset: Column) -> Column:
-    """Bytes of the LEB128 number at offset: up to the first byte below 128; null if there is none in ten."""
-    rows = F.substring(F.hex(F.substring(b, offset + 1, F.lit(10))), F.lit(1), F.lit(20))
-    ends = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda i: F.conv(F.substring(rows, 2 * i + 1, F.lit(2)), 16, 10).cast("int") < 128)
-    return F.get(ends, F.lit(0)) + 1
+def _leb_digits(b: Column, offset: Column) -> Column:
+    """Hexadecimal digits of the LEB128 number at offset: up to the first byte below 128; null if there is none in ten."""
+    return F.regexp_substr(F.hex(F.substring(b, offset + 1, F.lit(10))), F.lit(r"\A(?:[89A-F].){0,9}[0-7]."))
 
 
 def uleb128(b: Column, offset: Column | int = 0) -> Column:
     """struct(value decimal(38,0), length int) of an unsigned LEB128 number of up to ten bytes; null if it doesn't end."""
-    offset = as_column(offset)
-    n = _leb_length(b, offset)
-    bits = let(F.hex(F.substring(b, offset + 1, F.lit(10))), lambda h: F.aggregate(F.sequence(n - 1, F.lit(0), F.lit(-1)), F.lit(0).cast("decimal(38,0)"), lambda acc, i: (acc * 128 + (F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int") % 128).cast("decimal(10,0)")).cast("decimal(38,0)")))
-    return F.when(n.isNotNull(), F.struct(bits.alias("value"), n.alias("length")))
+
+    def value(h: Column) -> Column:
+        n = (F.length(h) / 2).cast("int")
+        short = F.aggregate(F.sequence(n - 1, F.lit(0), F.lit(-1)), F.lit(0).cast("long"), lambda acc, i: acc * 128 + F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10).cast("long") % 128)
+        wide = F.aggregate(F.sequence(n - 1, F.lit(0), F.lit(-1)), F.lit(0).cast("decimal(38,0)"), lambda acc, i: (acc * 128 + (F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int") % 128).cast("decimal(10,0)")).cast("decimal(38,0)"))
+        return F.when(h.isNotNull(), F.struct(F.when(n <= 8, short.cast("decimal(38,0)")).otherwise(wide).alias("value"), n.alias("length")))
+
+    return let(_leb_digits(b, as_column(offset)), value)
 
 
 def sleb128(b: Column, offset: Column | int = 0) -> Column:

@@ -15,7 +15,7 @@ from .common import runs, text_blocks
 
 #: Labelled documents that the model is fitted on at most: those with the smallest hash of their id.
 TRAIN_DOCS = 4000
-BLOCK_CHARS = 500_000
+BLOCK_CHARS = 300_000
 BASE = ("upper", "symbol", "bar", "digit", "stop", "bang", "twin", "copies", "words", "short", "seen", "length", "foreign", "other", "comma")
 N_BASE = len(BASE)
 N_FEATURES = 3 * N_BASE + 3

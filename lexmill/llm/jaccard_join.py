@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, small, splitmix, text_blocks
 
-BLOCK_BYTES = 1_500_000
+BLOCK_BYTES = 800_000
 #: Minima of a set that grouping looks at, and how many must agree with the leader.
 MINIMA, AGREE = 8, 2
 #: Documents of a block on either side of a comparison.

@@ -105,10 +105,10 @@ def fit(bags: list[dict[str, int]], label: list[int], grades: int = 2, keys: lis
         if not own & met:
             first.append(i)
         met |= own
-    bags, y = [count_features(bags[i]) for i in first], np.array([label[i] for i in first], np.int64)
+    bags, y = [bags[i] for i in first], np.array([label[i] for i in first], np.int64)
     toxic, clean = Counter(), Counter()
     for b, k in zip(bags, y, strict=True):
-        (toxic if k else clean).update(b.keys())
+        (toxic if k else clean).update(count_features(b).keys())
     n1, n0 = int((y > 0).sum()), int((y == 0).sum())
     if not n1 or not n0:
         return Ordinal({}, (8.0,) if n0 or not n1 else (-8.0,))
@@ -119,6 +119,7 @@ def fit(bags: list[dict[str, int]], label: list[int], grades: int = 2, keys: lis
             z = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
             if abs(z) >= LEAST_Z * np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5)):
                 odds[w] = float(z)
+    bags = [{f: n for f, n in count_features(b).items() if f in odds} for b in bags]  # features anew, so that only those used are held
     words = sorted(odds)
     at = {w: i for i, w in enumerate(words)}
     if y.max() == 1 and grades > 1:

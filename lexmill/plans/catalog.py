@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import sequence as S
 from ..operators import columns as G
-from ..sources import android_package, dalvik_bytecode, dex, keystore, shell, shell_text, tables, zip_archive
+from ..sources import android_package, dalvik_bytecode, dex_writer, keystore, shell, shell_text, tables, zip_archive
 from ..sources import bson as bson_format
 from ..operators.cursor import run
 from .dex_tables import Executables
@@ -295,9 +295,12 @@ def _executables(spark: SparkSession, sf_dir: str) -> Executables:
     """A small executable for each benchmark item: class Lpkg/Item<id>; with one field and one method."""
 
     def write(k: int, x: str) -> bytes:
+        body = [{"operation": "const-string", "a": 0, "index": 7}, {"operation": "iget", "a": 1, "b": 2, "index": 0}, {"operation": "invoke-virtual", "index": 0, "registers": [2, 1, 0]}, {"operation": "return-void"}]
+        code = {"registers": 4, "ins": 3, "outs": 3, "instructions": body, "tries": [{"start": 0, "count": 4, "handlers": [{"type_idx": 2, "address": 7}], "catch_all": None}], "debug": {"line_start": k, "parameter_names": [None, 5], "codes": [{"op": "special", "value": 14}]}}
         strings = ["I", "LI", f"Lpkg/Item{k};", "Ljava/lang/Object;", "V", "count", "run", x[:20]]
-        data = {"static_fields": [], "instance_fields": [{"idx": 0, "access_flags": 2}], "direct_methods": [], "virtual_methods": [{"idx": 0, "access_flags": 1, "code_offset": 0}]}
-        return dex.write(strings, [0, 2, 3, 4], [(1, 3, [0, 1])], [(1, 0, 5)], [(1, 0, 6)], [{"class_idx": 1, "access_flags": 1, "superclass_idx": 2, "source_file_idx": 7 if k % 2 else 0xFFFFFFFF, "interfaces": [], "data": data}])
+        data = {"static_fields": [], "instance_fields": [{"idx": 0, "access_flags": 2}], "direct_methods": [], "virtual_methods": [{"idx": 0, "access_flags": 1, "code": code}]}
+        notes = {"class": [{"visibility": "runtime", "type_idx": 1, "elements": [{"name_idx": 5, "value": {"type": "int", "value": k}}]}], "fields": [], "methods": [], "parameters": [{"idx": 0, "annotations": [[], [{"visibility": "build", "type_idx": 2, "elements": []}]]}]}
+        return dex_writer.write(strings, [0, 2, 3, 4], [(1, 3, [0, 1])], [(1, 0, 5)], [(1, 0, 6)], [{"class_idx": 1, "access_flags": 1, "superclass_idx": 2, "source_file_idx": 7 if k % 2 else 0xFFFFFFFF, "interfaces": [], "data": data, "annotations": notes}])
 
     return Executables(_written(t(spark, sf_dir, "benchmark"), "item_id", "text", write), "item_id", "data")
 
@@ -317,6 +320,22 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _executables(spark, sf_dir).members().select("item_id", "kind", "name", "access_flags")
 
 
+@query("dex_operands", "select item_id, unnest([0, 1, 2, 3]) as place, unnest(['const-string', 'iget', 'invoke-virtual', 'return-void']) as operation, unnest([substring(text, 1, 20), 'Lpkg/Item' || item_id || ';->count:I', 'Lpkg/Item' || item_id || ';->run(ILpkg/Item' || item_id || ';)V', null]) as operand from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _executables(spark, sf_dir).instructions().select("item_id", "place", "operation", "operand")
+
+
+@query("dex_tries", "select item_id, 0::bigint as method_idx, item_id as line_start, 0::bigint as start, 4::bigint as n, 7::bigint as address from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _executables(spark, sf_dir).bodies().select("item_id", "method_idx", C("debug.line_start").alias("line_start"), F.inline("tries"))
+    return each.select("item_id", "method_idx", "line_start", "start", C("count").alias("n"), F.explode("handlers.address").alias("address"))
+
+
+@query("dex_annotations", "select item_id, unnest(['class', 'parameter']) as target, unnest(['runtime', 'build']) as visibility, unnest(['Lpkg/Item' || item_id || ';', 'Ljava/lang/Object;']) as type, unnest([item_id::varchar, null]) as value from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _executables(spark, sf_dir).annotations().select("item_id", "target", "visibility", "type", F.try_element_at(C("elements.value.value"), F.lit(1)).alias("value"))
+
+
 @query("dalvik_instructions", "select item_id, unnest([0, 1, 2]) as place, unnest(['const/16', 'add-int/lit8', 'return']) as operation, unnest([0, 2, 4]) as units from benchmark")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = lambda k, x: dalvik_bytecode.write([{"operation": "const/16", "a": 0, "literal": k % 1000}, {"operation": "add-int/lit8", "a": 0, "b": 0, "literal": 1}, {"operation": "return", "a": 0}])

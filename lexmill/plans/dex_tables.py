@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import tables
 from .relational import resolve
 
-ROW = "idx long"
+#: Values of many kinds stay JSON text; absent fields of an instruction are null.
+NOTE = "visibility string, type_idx long, elements array<struct<name_idx long, value struct<type string, value string>>>"
+CODE = (
+    "struct<registers long, ins long, outs long, instructions array<struct<operation string, offset long, units long, a long, b long, c long, literal long, index long, target long, prototype long, registers array<long>>>,"
+    "tries array<struct<start long, count long, handlers array<struct<type_idx long, address long>>, catch_all long>>,"
+    "debug struct<line_start long, parameter_names array<long>, codes array<struct<op string, value long, register long, name_idx long, type_idx long, signature_idx long>>>>"
+)
+METHODS = f"array<struct<idx long, access_flags long, code {CODE}>>"
 SCHEMA = (
     "string_ids array<struct<idx long, offset long>>, string_data array<struct<offset long, value string>>, type_ids array<struct<idx long, string_idx long>>,"
     "proto_ids array<struct<idx long, shorty_idx long, return_type_idx long, parameters array<long>>>, field_ids array<struct<idx long, class_idx long, type_idx long, name_idx long>>,"
     "method_ids array<struct<idx long, class_idx long, proto_idx long, name_idx long>>,"
-    "class_defs array<struct<idx long, class_idx long, access_flags long, superclass_idx long, source_file_idx long, interfaces array<long>, data struct<"
-    "static_fields array<struct<idx long, access_flags long>>, instance_fields array<struct<idx long, access_flags long>>,"
-    "direct_methods array<struct<idx long, access_flags long, code_offset long>>, virtual_methods array<struct<idx long, access_flags long, code_offset long>>>>>"
+    "class_defs array<struct<idx long, class_idx long, access_flags long, superclass_idx long, source_file_idx long, interfaces array<long>, static_values array<struct<type string, value string>>,"
+    f"annotations struct<class array<struct<{NOTE}>>, fields array<struct<idx long, annotations array<struct<{NOTE}>>>>, methods array<struct<idx long, annotations array<struct<{NOTE}>>>>, parameters array<struct<idx long, annotations array<array<struct<{NOTE}>>>>>>,"
+    f"data struct<static_fields array<struct<idx long, access_flags long>>, instance_fields array<struct<idx long, access_flags long>>, direct_methods {METHODS}, virtual_methods {METHODS}>>>"
 )
 NO_INDEX = 0xFFFFFFFF
 
 
+def pool_of(operation: Column) -> Column:
+    """The pool that an operation's index points into, null if none."""
+    kinds = {"string": "^const-string", "type": "^(const-class|check-cast|instance-of|new-instance|new-array|filled-new-array)", "field": "^[is](get|put)", "method": "^invoke-(?!custom)"}
+    return F.coalesce(*(F.when(operation.rlike(pattern), F.lit(name)) for name, pattern in kinds.items()))
+
+
 class Executables:
     """The sections of many files. files: (file_id, content)."""
 
@@ -74,3 +89,44 @@ class Executables:
             one = resolve(one, pool.drop("class"), "member_idx", "idx", "name", "name", [self.key]).select(self.key, "class", "kind", "name", "access_flags")
             rows = one if rows is None else rows.union(one)
         return rows
+
+    def bodies(self) -> DataFrame:
+        """(file, method, registers, ins, outs, instructions, tries, debug) of all methods that have code."""
+        c = self.section("class_defs")
+        rows = c.select(self.key, F.explode(F.concat(F.coalesce("data.direct_methods", F.array()), F.coalesce("data.virtual_methods", F.array()))).alias("m"))
+        return rows.where("m.code is not null").select(self.key, F.col("m.idx").alias("method_idx"), "m.code.*")
+
+    def operands(self) -> DataFrame:
+        """(file, pool, idx, operand): what an instruction's index may mean, in the text of each pool."""
+        pools = {
+            "string": self.strings().select(self.key, "idx", F.col("string").alias("operand")),
+            "type": self.types().select(self.key, "idx", F.col("descriptor").alias("operand")),
+            "field": self.fields().select(self.key, "idx", F.format_string("%s->%s:%s", "class", "name", "type").alias("operand")),
+            "method": self.methods().select(self.key, "idx", F.format_string("%s->%s(%s)%s", "class", "name", F.array_join("parameters", ""), "returns").alias("operand")),
+        }
+        rows = [p.select(self.key, F.lit(n).alias("pool"), "idx", "operand") for n, p in pools.items()]
+        return reduce(DataFrame.union, rows)
+
+    def instructions(self) -> DataFrame:
+        """(file, method_idx, place, operation, offset, units, registers, literal, target, pool, index, operand); one join for all pools.
+
+        A pool's index without an entry ends the query; indices of call sites, method handles and prototypes have no pool.
+        """
+        each = self.bodies().select(self.key, "method_idx", F.posexplode("instructions").alias("place", "x"))
+        each = each.select(self.key, "method_idx", "place", "x.*").withColumn("pool", pool_of(F.col("operation")))
+        side = self.operands().select(F.col(self.key).alias("__file"), F.col("pool").alias("__pool"), F.col("idx").alias("__idx"), "operand")
+        out = each.join(side, (each[self.key] == side["__file"]) & (each["pool"] == side["__pool"]) & (each["index"] == side["__idx"]), "left")
+        found = F.when(F.col("pool").isNotNull() & F.col("operand").isNull(), F.raise_error(F.format_string("%s %d isn't in its pool", "pool", "index"))).otherwise(F.col("operand"))
+        return out.select(self.key, "method_idx", "place", "operation", "offset", "units", "a", "b", "c", "registers", "literal", "target", "pool", "index", found.alias("operand"))
+
+    def annotations(self) -> DataFrame:
+        """(file, class, target, member_idx, parameter, visibility, type, elements): directory, sets and items of every class as rows."""
+        c = resolve(self.section("class_defs"), self.types(), "class_idx", "idx", "descriptor", "class", [self.key]).select(self.key, "class", F.col("annotations").alias("d"))
+        none = F.lit(None)
+        rows = [c.select(self.key, "class", F.lit("class").alias("target"), none.cast("long").alias("member_idx"), none.cast("int").alias("parameter"), F.inline("d.class"))]
+        for target in ("fields", "methods"):
+            m = c.select(self.key, "class", F.explode(f"d.{target}").alias("m"))
+            rows.append(m.select(self.key, "class", F.lit(target[:-1]).alias("target"), F.col("m.idx").alias("member_idx"), none.cast("int").alias("parameter"), F.inline("m.annotations")))
+        p = c.select(self.key, "class", F.explode("d.parameters").alias("m")).select(self.key, "class", "m.idx", F.posexplode("m.annotations").alias("parameter", "s"))
+        rows.append(p.select(self.key, "class", F.lit("parameter").alias("target"), F.col("idx").alias("member_idx"), "parameter", F.inline("s")))
+        return resolve(reduce(DataFrame.union, rows), self.types(), "type_idx", "idx", "descriptor", "type", [self.key]).select(self.key, "class", "target", "member_idx", "parameter", "visibility", "type", "elements")

@@ -3,32 +3,14 @@
 from __future__ import annotations
 
 from ..operators.cursor import Cursor
+from .dex_data import annotations, code_item, encoded_array
 from .keystore import modified_utf8
+from .numbers import uleb128
 
 HEADER = ("string_ids", "type_ids", "proto_ids", "field_ids", "method_ids", "class_defs")
 NO_INDEX = 0xFFFFFFFF
 
 
-def uleb128(c: Cursor) -> int:
-    out = shift = 0
-    while True:
-        b = c.number(1)
-        out |= (b & 127) << shift
-        if b < 128:
-            return out
-        shift += 7
-
-
-def sleb128(c: Cursor) -> int:
-    out = shift = 0
-    while True:
-        b = c.number(1)
-        out |= (b & 127) << shift
-        shift += 7
-        if b < 128:
-            return out - (1 << shift) if b & 64 else out
-
-
 def header(c: Cursor) -> dict:
     c.expect(b"dex\n")
     version = c.take(4)[:3].decode("ascii", "replace")
@@ -64,7 +46,7 @@ def _class_data(c: Cursor, offset: int) -> dict:
             idx = 0
             for _ in range(n):
                 idx += uleb128(part)
-                rows.append({"idx": idx, "access_flags": uleb128(part)} | ({"code_offset": uleb128(part)} if "methods" in name else {}))
+                rows.append({"idx": idx, "access_flags": uleb128(part)} | ({"code": code_item(c, uleb128(part))} if "methods" in name else {}))
     return out
 
 
@@ -82,55 +64,8 @@ def executable(c: Cursor) -> dict:
     out["proto_ids"] = [r | {"parameters": _types(c, r.pop("parameters_offset"))} for r in _rows(c, h["proto_ids"], (4, 4, 4), ("shorty_idx", "return_type_idx", "parameters_offset"))]
     out["field_ids"] = _rows(c, h["field_ids"], (2, 2, 4), ("class_idx", "type_idx", "name_idx"))
     out["method_ids"] = _rows(c, h["method_ids"], (2, 2, 4), ("class_idx", "proto_idx", "name_idx"))
-    out["class_defs"] = [r | {"interfaces": _types(c, r["interfaces_offset"]), "data": _class_data(c, r["class_data_offset"])} for r in _rows(c, h["class_defs"], (4,) * 8, ("class_idx", "access_flags", "superclass_idx", "interfaces_offset", "source_file_idx", "annotations_offset", "class_data_offset", "static_values_offset"))]
+    out["class_defs"] = [r | {"interfaces": _types(c, r["interfaces_offset"]), "annotations": annotations(c, r["annotations_offset"]), "static_values": encoded_array(Cursor(c.data, r["static_values_offset"], c.end)) if r["static_values_offset"] else [], "data": _class_data(c, r["class_data_offset"])} for r in _rows(c, h["class_defs"], (4,) * 8, ("class_idx", "access_flags", "superclass_idx", "interfaces_offset", "source_file_idx", "annotations_offset", "class_data_offset", "static_values_offset"))]
     part = Cursor(c.data, h["map_offset"], c.end)
     out["map"] = [{"type": part.number(2), "unused": part.number(2), "size": part.number(4), "offset": part.number(4)} for _ in range(part.number(4))] if h["map_offset"] else []
     c.at = c.end
     return out
-
-
-def write(strings: list[str], types: list[int], protos: list[tuple[int, int, list[int]]], fields: list[tuple[int, int, int]], methods: list[tuple[int, int, int]], classes: list[dict]) -> bytes:
-    """A file of version 035 with these pools and classes; checksum and signature are zero. classes: class_idx, access_flags, superclass_idx, source_file_idx, interfaces and data as executable gives them, without code."""
-    import struct
-
-    from .keystore import to_modified_utf8
-
-    def uleb(n: int) -> bytes:
-        out = b""
-        while n > 127:
-            out, n = out + bytes([n & 127 | 128]), n >> 7
-        return out + bytes([n])
-
-    at = 112
-    places = []
-    for rows, width in ((strings, 4), (types, 4), (protos, 12), (fields, 8), (methods, 8), (classes, 32)):
-        places.append((len(rows), at if rows else 0))
-        at += len(rows) * width
-    data_at, blob = at, b""
-
-    def add(raw: bytes, align: int = 1) -> int:
-        nonlocal blob
-        blob += b"\0" * (-(data_at + len(blob)) % align) + raw
-        return data_at + len(blob) - len(raw)
-
-    def type_list(idx: list[int]) -> int:
-        return add(struct.pack(f"<I{len(idx)}H", len(idx), *idx), 4) if idx else 0
-
-    def members(rows: list[dict]) -> bytes:
-        out, before = b"", 0
-        for r in rows:
-            out += uleb(r["idx"] - before) + uleb(r["access_flags"]) + (uleb(r["code_offset"]) if "code_offset" in r else b"")
-            before = r["idx"]
-        return out
-
-    body = b"".join(struct.pack("<I", add(uleb(len(s.encode("utf-16-le")) // 2) + to_modified_utf8(s) + b"\0")) for s in strings)
-    body += struct.pack(f"<{len(types)}I", *types)
-    body += b"".join(struct.pack("<III", a, b, type_list(p)) for a, b, p in protos)
-    body += b"".join(struct.pack("<HHI", *r) for r in [*fields, *methods])
-    for c in classes:
-        d = c["data"]
-        raw = b"".join(uleb(len(v)) for v in d.values()) + b"".join(map(members, d.values()))
-        body += struct.pack("<8I", c["class_idx"], c["access_flags"], c["superclass_idx"], type_list(c["interfaces"]), c["source_file_idx"], 0, add(raw) if any(d.values()) else 0, 0)
-    head = b"dex\n035\0" + struct.pack("<I20sIIIIII", 0, bytes(20), at + len(blob), 112, 0x12345678, 0, 0, 0)
-    head += b"".join(struct.pack("<II", *p) for p in places) + struct.pack("<II", len(blob), data_at)
-    return head + body + blob

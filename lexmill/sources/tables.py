@@ -6,6 +6,7 @@ import base64
 import json
 from collections.abc import Callable, Iterator
 from datetime import datetime
+from math import isfinite
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,9 @@ NODES = "node_id bigint, parent_id bigint, ordinal int, field string, type strin
 
 
 def plain(value: object) -> object:
-    """What JSON can hold: bytes in base 64, dates in ISO form."""
+    """What JSON can hold: bytes in base 64, dates in ISO form, numbers that aren't finite as text."""
+    if isinstance(value, float) and not isfinite(value):
+        return str(value)
     if isinstance(value, bytes):
         return base64.b64encode(value).decode()
     if isinstance(value, datetime):

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexmill.operators.cursor import Cursor, ParseFailure, join_failures, run
-from lexmill.sources import android_package, bson, dalvik_bytecode, dex, json_text, keystore, regex_ast, s_expression, shell, shell_text, tables, zip_archive
+from lexmill.sources import android_package, bson, dalvik_bytecode, dex, dex_data, dex_writer, json_text, keystore, regex_ast, s_expression, shell, shell_text, tables, zip_archive
 
 NAMES = st.text(st.characters(min_codepoint=1, exclude_categories=["Cs"]))
 JSON = st.recursive(st.none() | st.booleans() | st.floats(allow_nan=False, allow_infinity=False) | st.text(st.characters(exclude_categories=["Cs"])), lambda x: st.lists(x, max_size=4) | st.dictionaries(NAMES, x, max_size=4), max_leaves=12)
@@ -203,3 +203,26 @@ def test_shell_text(text):
     tree = run(shell.script, text)
     again = shell_text.script(tree)
     assert run(shell.script, again) == tree, again
+
+
+def test_executable_round_trip():
+    values = [{"type": t, "value": v} for t, v in [("byte", -3), ("short", -300), ("char", 40000), ("int", 7), ("long", -(1 << 60)), ("float", 1.5), ("double", -0.1), ("double", 0.0), ("string", 2), ("null", None), ("boolean", True), ("boolean", False), ("enum", 300)]]
+    values += [{"type": "array", "value": values[:3]}, {"type": "annotation", "value": {"type_idx": 1, "elements": [{"name_idx": 200, "value": values[0]}]}}]
+    body = [{"operation": "packed-switch", "a": 0, "target": 4}, {"operation": "return-void"}, {"operation": "packed-switch-payload", "first": 0, "targets": [3]}, {"operation": "nop"}]
+    codes = [{"op": "advance_pc", "value": 300}, {"op": "advance_line", "value": -70}, {"op": "start_local_extended", "register": 1, "name_idx": 0, "type_idx": None, "signature_idx": 2}, {"op": "set_prologue_end"}, {"op": "special", "value": 10 + 15 * 2 + 5}, {"op": "end_local", "register": 1}]
+    tries = [{"start": 0, "count": 1, "handlers": [{"type_idx": 1, "address": 3}], "catch_all": None}, {"start": 1, "count": 2, "handlers": [], "catch_all": 3}]
+    code = {"registers": 2, "ins": 1, "outs": 0, "instructions": body, "tries": tries, "debug": {"line_start": 100, "parameter_names": [None], "codes": codes}}
+    note = {"visibility": "system", "type_idx": 0, "elements": [{"name_idx": 1, "value": values[3]}]}
+    notes = {"class": [note], "fields": [{"idx": 0, "annotations": [note, note]}], "methods": [{"idx": 0, "annotations": [note]}], "parameters": [{"idx": 1, "annotations": [[], [note]]}]}
+    data = {"static_fields": [{"idx": 0, "access_flags": 8}, {"idx": 5, "access_flags": 1}], "instance_fields": [], "direct_methods": [{"idx": 0, "access_flags": 1, "code": code}], "virtual_methods": [{"idx": 1, "access_flags": 1024, "code": None}]}
+    raw = dex_writer.write(["LA;", "V", "x\0\U0001f600"], [0, 1], [(1, 1, [0])], [(0, 1, 2)], [(0, 0, 2), (0, 0, 1)], [{"class_idx": 0, "access_flags": 1, "superclass_idx": dex.NO_INDEX, "source_file_idx": dex.NO_INDEX, "interfaces": [1], "data": data, "annotations": notes, "static_values": values}])
+    got = run(dex.executable, raw)
+    one = got["class_defs"][0]
+    read = one["data"]["direct_methods"][0]["code"]
+    read["instructions"] = [{k: v for k, v in x.items() if k not in ("offset", "units")} for x in read["instructions"]]
+    assert one["data"] == data and one["annotations"] == notes and one["static_values"] == values
+    assert [r["value"] for r in got["string_data"]] == ["LA;", "V", "x\0\U0001f600"]
+    assert [r["offset"] for r in got["map"]] == sorted(r["offset"] for r in got["map"]) and got["header"]["file_size"] == len(raw)
+    assert dex_data.lines(read["debug"]) == [(302, 31)]
+    with pytest.raises(ParseFailure):
+        run(dex_data.encoded_value, b"\x01\0")

@@ -373,6 +373,50 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return _written(t(spark, sf_dir, "benchmark"), "item_id", "text", same, "string").select("item_id", C("data").cast("boolean").alias("same"))
 
+def _java(k: int, x: str) -> str:
+    """A class for each item: a field for each of the text's first words, a method that returns how many there are."""
+    fields = "".join(f"  private static final String W{i} = \"{w}\";\n" for i, w in enumerate(x.replace('"', "").replace("\\", "").split()[: k % 9 + 1]))
+    return f"package p;\nimport java.util.*;\n/** {k} */\npublic class Item{k} extends Object {{\n{fields}  int count(List<Map<String, int[]>> m) {{ for (int i = 0; i < {k}; i++) if (m == null) return i >> 1; return {k}; }}\n}}\n"
+
+
+def _zig(k: int, x: str) -> str:
+    return f"const std = @import(\"std\");\npub const Item{k} = struct {{ id: u64 = {k}, next: ?*Item{k} = null, }};\npub fn count(xs: []const u8) !usize {{ var n: usize = 0; for (xs, 0..) |c, i| {{ if (c == 'a' and i > {k}) n += 1; }} return n; }}\n"
+
+
+@query("java_fields", """with w as (select item_id, string_split_regex(trim(replace(replace(text, '"', ''), '\\', ''), E' \\n\\r\\t'), '\\s+') as w from benchmark), e as (select item_id, unnest(w) as value, generate_subscripts(w, 1) as i from w)
+select item_id, ('W' || (i - 1)) as name, value from e where i <= item_id % 9 + 1""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = tables.node_table(_written(t(spark, sf_dir, "benchmark"), "item_id", "text", _java, "string"), "item_id", "data", "java").where("type in ('VariableDeclarator', 'SimpleName', 'StringLiteralExpr') or field in ('identifier', 'value')")
+    up = lambda kind, field: nodes.where(C("type") == kind).select("item_id", C("node_id").alias("me"), C("parent_id").alias("up")).join(nodes.where(C("field") == field).select("item_id", C("parent_id").alias("me"), "value"), ["item_id", "me"]).drop("me")
+    declared = nodes.where("type = 'VariableDeclarator'").select("item_id", C("node_id").alias("up"))
+    names, values = up("SimpleName", "identifier").withColumnRenamed("value", "name"), up("StringLiteralExpr", "value")
+    return declared.join(names, ["item_id", "up"]).join(values, ["item_id", "up"]).select("item_id", "name", "value")
+
+
+def _printed(spark: SparkSession, sf_dir: str, form: str, write: Callable[[int, str], str]) -> DataFrame:
+    """Whether printing and parsing again gives the same tree."""
+    once = tables.parse_column(_written(t(spark, sf_dir, "benchmark"), "item_id", "text", write, "string"), "data", form).select("item_id", C("value").alias("tree"))
+    again = tables.parse_column(tables.print_column(once, "tree", form), "text", form)
+    return again.select("item_id", (C("tree") == C("value")).alias("same"))
+
+
+@query("java_round_trip", "select item_id, true as same from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _printed(spark, sf_dir, "java", _java)
+
+
+@query("zig_round_trip", "select item_id, true as same from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _printed(spark, sf_dir, "zig", _zig)
+
+
+@query("zig_declarations", "select item_id, unnest(['std', 'Item' || item_id, 'count', 'n']) as name, unnest(['VarDecl', 'VarDecl', 'FnDecl', 'VarDecl']) as type from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = tables.node_table(_written(t(spark, sf_dir, "benchmark"), "item_id", "text", _zig, "string"), "item_id", "data", "zig")
+    declared = nodes.where("type in ('VarDecl', 'FnDecl')").select("item_id", C("node_id").alias("parent_id"), "type")
+    return declared.join(nodes.where("field = 'name'").select("item_id", "parent_id", C("value").alias("name")), ["item_id", "parent_id"]).select("item_id", "name", "type")
+
+
 
 # names and types of smali text
 NAME = "[\\p{L}\\p{N}_$-]+"

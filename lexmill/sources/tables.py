@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.cursor import Cursor, ParseFailure, run
-from . import android_package, bson, dalvik_bytecode, dex, json_text, keystore, regex_ast, s_expression, shell, zip_archive
+from . import android_package, bson, dalvik_bytecode, dex, java, java_text, json_text, keystore, regex_ast, s_expression, shell, shell_text, zig, zig_text, zip_archive
 
 #: Name to (parser, reads bytes).
 FORMATS: dict[str, tuple[Callable[[Cursor], object], bool]] = {
-    "json": (json_text.value, False), "s_expression": (s_expression.document, False), "regex": (regex_ast.alternation, False), "shell": (shell.script, False),
+    "json": (json_text.value, False), "s_expression": (s_expression.document, False), "regex": (regex_ast.alternation, False), "shell": (shell.script, False), "java": (java.compilation_unit, False), "zig": (zig.source_file, False),
     "bson": (bson.document, True), "zip": (zip_archive.archive, True), "apk": (android_package.package, True), "keystore": (keystore.keystore, True), "dex": (dex.executable, True), "dalvik": (dalvik_bytecode.instructions, True),
 }
+#: Printers of trees that the parsers of the same name give.
+PRINTERS: dict[str, Callable[[dict], str]] = {"shell": shell_text.script, "java": java_text.text, "zig": zig_text.text}
 VALUE = "value string, error struct<name string, message string, position bigint, depth int>"
 NODES = "node_id bigint, parent_id bigint, ordinal int, field string, type string, value string"
 
@@ -63,6 +65,18 @@ def parse_column(df: DataFrame, column: str, form: str, strict: bool = False) ->
     return df.mapInArrow(rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", " + VALUE)
 
 
+def print_column(df: DataFrame, column: str, form: str, name: str = "text") -> DataFrame:
+    """df with the text of each tree (JSON text as parse_column gives it); null trees give null."""
+    printer, at = PRINTERS[form], df.columns.index(column)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [None if x is None else printer(json.loads(x)) for x in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, name])
+
+    return df.mapInArrow(rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` string")
+
+
 def flatten(tree: object) -> list[tuple]:
     """(node_id, parent_id, ordinal, field, type, value) of a tree in depth-first order."""
     out: list[tuple] = []

@@ -418,6 +418,41 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+SMALI = "struct<class string, superclass string, source_file string, fields array<struct<name string, field_type string, value struct<type string, value string>>>, methods array<struct<name string, prototype struct<shorty string>, kind string, access_flags array<string>, code struct<registers int, ins int, instructions array<struct<operation string, registers array<int>, literal long, string string, target_index int>>, tries array<struct<start_index int, end_index int, handler_index int>>>>>>"
+
+
+def _smali(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class for each item with a field that holds the item's id and a method that counts down from it."""
+
+    def write(k: int, x: str) -> str:
+        literal = x[:12].replace("\\", "").replace('"', "").replace("\n", " ")
+        body = f'    .locals 1\n    const/16 v0, {k % 1000:#x}\n    :top\n    const-string p1, "{literal}"\n    if-lez v0, :out\n    add-int/lit8 v0, v0, -0x1\n    goto :top\n    :out\n    return-void\n    .catchall {{:top .. :out}} :out\n'
+        return f'.class public Lpkg/Item{k};\n.super Ljava/lang/Object;\n.source "{k}.java"\n\n.field static final ID:J = {k:#x}L\n\n.method private run(JLjava/lang/String;)V\n{body}.end method\n'
+
+    parsed = tables.parse_column(_written(t(spark, sf_dir, "benchmark"), "item_id", "text", write, "string"), "data", "smali", strict=True)
+    return parsed.select("item_id", F.from_json("value", SMALI).alias("x")).select("item_id", "x.*")
+
+
+@query("smali_fields", "select item_id, 'Lpkg/Item' || item_id || ';' as class, item_id || '.java' as source_file, 'ID' as name, 'J' as type, item_id as value from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _smali(spark, sf_dir).select("item_id", "class", "source_file", F.explode("fields").alias("f")).select("item_id", "class", "source_file", "f.name", C("f.field_type").alias("type"), C("f.value.value").cast("long").alias("value"))
+
+
+@query("smali_label_join", """select item_id, 'VJL' as shorty, 5::int as registers, unnest([0, 1, 2, 3, 4, 5]) as place, unnest(['const/16', 'const-string', 'if-lez', 'add-int/lit8', 'goto', 'return-void']) as operation,
+unnest([null, null, 5, null, 1, null]) as target, unnest([item_id % 1000, null, null, -1, null, null]) as literal, unnest([null, null, 'return-void', null, 'const-string', null]) as target_operation from benchmark""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    methods = _smali(spark, sf_dir).select("item_id", F.explode("methods").alias("m")).select("item_id", C("m.prototype.shorty").alias("shorty"), "m.code.*")
+    each = methods.select("item_id", "shorty", "registers", F.posexplode("instructions").alias("place", "i"), C("instructions.operation").alias("all"))
+    return each.select("item_id", "shorty", "registers", "place", "i.operation", C("i.target_index").alias("target"), "i.literal", F.get("all", C("i.target_index")).alias("target_operation"))
+
+
+@query("smali_catch", "select item_id, 'direct' as kind, 4::int as ins, 1::int as first, 5::int as last, 5::int as handler from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    methods = _smali(spark, sf_dir).select("item_id", F.explode("methods").alias("m"))
+    return methods.select("item_id", "m.kind", C("m.code.ins").alias("ins"), F.inline("m.code.tries")).select("item_id", "kind", "ins", C("start_index").alias("first"), C("end_index").alias("last"), C("handler_index").alias("handler"))
+
+
+
 # names and types of smali text
 NAME = "[\\p{L}\\p{N}_$-]+"
 over("smali_type_descriptors", "part", "p_partkey", "select p_partkey, 'Lpkg/P' || p_partkey || ';' as class_type, 'I' as element, 2::int as dimensions from part",

@@ -51,7 +51,7 @@ def _class_data(c: Cursor, offset: int) -> dict:
 
 
 def executable(c: Cursor) -> dict:
-    """{header, string_ids, string_data, type_ids, proto_ids, field_ids, method_ids, class_defs, map}."""
+    """{header, string_ids, string_data, type_ids, proto_ids, field_ids, method_ids, class_defs, map, link}."""
     h = header(c)
     out: dict = {"header": h, "string_ids": _rows(c, h["string_ids"], (4,), ("offset",))}
     data = []
@@ -67,5 +67,6 @@ def executable(c: Cursor) -> dict:
     out["class_defs"] = [r | {"interfaces": _types(c, r["interfaces_offset"]), "annotations": annotations(c, r["annotations_offset"]), "static_values": encoded_array(Cursor(c.data, r["static_values_offset"], c.end)) if r["static_values_offset"] else [], "data": _class_data(c, r["class_data_offset"])} for r in _rows(c, h["class_defs"], (4,) * 8, ("class_idx", "access_flags", "superclass_idx", "interfaces_offset", "source_file_idx", "annotations_offset", "class_data_offset", "static_values_offset"))]
     part = Cursor(c.data, h["map_offset"], c.end)
     out["map"] = [{"type": part.number(2), "unused": part.number(2), "size": part.number(4), "offset": part.number(4)} for _ in range(part.number(4))] if h["map_offset"] else []
+    out["link"] = Cursor(c.data, h["link_offset"], c.end).take(h["link_size"]) if h["link_size"] else None
     c.at = c.end
     return out

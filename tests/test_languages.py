@@ -5,7 +5,7 @@ import json
 import pytest
 
 from lexmill.operators.cursor import ParseFailure, run
-from lexmill.sources import java, java_text, tables, zig, zig_text
+from lexmill.sources import java, java_text, smali, tables, zig, zig_text
 
 JAVA = r"""
 @A package a.b.c; import java.util.*; import static x.Y.z;
@@ -146,3 +146,100 @@ def test_printed_columns(spark):
     rows = {r.id: r for r in tables.print_column(parsed, "value", "java").collect()}
     assert rows[1].text == "class A {}\n" and rows[2].text is None and rows[3].text is None and rows[3].error.name == "Unexpected"
     assert json.loads(rows[1].value)["type"] == "CompilationUnit"
+
+
+SMALI = r"""# comment
+.class public final Lpkg/A;
+.super Ljava/lang/Object;
+.source "A.java"
+.implements Ljava/lang/Runnable;
+
+.annotation runtime Lpkg/N;
+    value = {
+        "a\nA",
+        .enum Lpkg/E;->X:Lpkg/E;
+    }
+    sub = .subannotation Lpkg/S;
+        n = 0x1t
+    .end subannotation
+.end annotation
+
+.field private static final X:J = -0x2L
+.field y:Ljava/lang/String;
+    .annotation build Lpkg/N;
+    .end annotation
+.end field
+.field static z:F = 1.5f
+
+.method public constructor <init>(IJ)V
+    .locals 2
+    .param p1, "n"    # I
+        .annotation runtime Lpkg/N;
+        .end annotation
+    .end param
+    .prologue
+    .line 10
+    .local v0, "x":I
+    .local v1, "s":Ljava/util/List;, "Ljava/util/List<I>;"
+    :try_start_0
+    const-string v0, "hi, # there"
+    invoke-direct {p0}, Ljava/lang/Object;-><init>()V
+    invoke-virtual/range {v0 .. v1}, Lpkg/A;->f([I)J
+    :try_end_0
+    .catch Ljava/lang/Exception; {:try_start_0 .. :try_end_0} :catch_0
+    .catchall {:try_start_0 .. :try_end_0} :catch_0
+    packed-switch p1, :pswitch_data_0
+    :goto_0
+    const/16 v1, -0x7
+    iget-object v0, p0, Lpkg/A;->y:Ljava/lang/String;
+    .end local v0
+    .restart local v0
+    goto :goto_0
+    :catch_0
+    :pswitch_0
+    return-void
+    :pswitch_data_0
+    .packed-switch 0x1
+        :goto_0
+        :pswitch_0
+    .end packed-switch
+.end method
+
+.method abstract m()V
+.end method
+"""
+
+
+def test_smali():
+    tree = run(smali.class_definition, SMALI)
+    assert tree["class"] == "Lpkg/A;" and tree["interfaces"] == ["Ljava/lang/Runnable;"] and tree["source_file"] == "A.java"
+    assert tree["annotations"][0]["elements"][0]["value"]["value"][0]["value"] == "a\nA" and tree["annotations"][0]["elements"][1]["value"]["value"]["elements"][0]["value"] == {"type": "byte", "value": 1}
+    assert [(f["name"], f["kind"], f["value"] and f["value"]["value"], len(f["annotations"])) for f in tree["fields"]] == [("X", "static", -2, 0), ("y", "instance", None, 1), ("z", "static", 1.5, 0)]
+    first, second = tree["methods"]
+    code = first["code"]
+    assert (code["registers"], code["ins"], code["outs"]) == (6, 4, 2) and first["prototype"]["shorty"] == "VIJ" and second["code"] is None
+    assert code["instructions"][0]["string"] == "hi, # there" and code["instructions"][3]["target_index"] == 8
+    assert code["instructions"][8] == {"operation": "packed-switch-payload", "first": 1, "target_indices": [4, 7], "owner_index": 3}
+    assert code["tries"][0] == {"start_index": 0, "end_index": 3, "exception": "Ljava/lang/Exception;", "handler_index": 7}
+    assert code["debug"][3]["type"] == "Ljava/util/List;" and first["parameters"][0]["register"] == 3
+
+
+BODY = ".class LA;\n.super LB;\n.method static f(DI)V\n.locals 1\n{}\n.end method\n"
+
+
+@pytest.mark.parametrize("body", ["goto :nowhere", "const/4 v9, 0x0", ":a\n:a\nreturn-void", "made-up v0", ".packed-switch 0x0\n.end packed-switch", "invoke-static {v1 .. v0}, LA;->f()V", "const-string v0, \"open", ".catch LE; {:a .. :b} :c\nnop", "goto"])
+def test_smali_failures(body):
+    source = BODY.format(body)
+    if body == "goto":
+        assert run(smali.class_definition, source)["methods"][0]["code"]["instructions"][0]["registers"] == []
+        return
+    with pytest.raises(ParseFailure):
+        run(smali.class_definition, source)
+
+
+def test_smali_payloads():
+    got = run(smali.class_definition, BODY.format("sparse-switch p2, :s\nfill-array-data v0, :d\n:x\nreturn-void\n:s\n.sparse-switch\n-0x1 -> :x\n.end sparse-switch\n:d\n.array-data 1\n0x1t\n-0x2t\n.end array-data"))
+    code = got["methods"][0]["code"]
+    assert code["registers"] == 4 and code["instructions"][0]["registers"] == [3]
+    assert code["instructions"][3] == {"operation": "sparse-switch-payload", "keys": [-1], "target_indices": [2], "owner_index": 0}
+    assert code["instructions"][4] == {"operation": "fill-array-data-payload", "width": 1, "data": [1, -2], "owner_index": 1}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +37,18 @@ def pool_of(operation: Column) -> Column:
 
 
 class Executables:
-    """The sections of many files. files: (file_id, content)."""
+    """The sections of many files. files: (file_id, content).
+
+    Every section reads the parsed files, so they are kept on executors' disks and parsed once; lost blocks are parsed
+    again. close() lets go of them.
+    """
 
     def __init__(self, files: DataFrame, key: str = "file_id", column: str = "content") -> None:
         parsed = tables.parse_column(files.select(key, column), column, "dex", strict=True)
-        self.key, self.all = key, parsed.select(key, F.from_json("value", SCHEMA).alias("x"))
+        self.key, self.all = key, parsed.select(key, F.from_json("value", SCHEMA).alias("x")).persist(StorageLevel.DISK_ONLY)
+
+    def close(self) -> None:
+        self.all.unpersist()
 
     def section(self, name: str) -> DataFrame:
         return self.all.select(self.key, F.inline(f"x.{name}"))
@@ -80,15 +88,15 @@ class Executables:
         return c.select(self.key, "idx", "class", "access_flags", "superclass", "source_file", "data")
 
     def members(self) -> DataFrame:
-        """(file, class, kind, name, access_flags) of all fields and methods that classes define."""
-        kinds = ("static_fields", "instance_fields", "direct_methods", "virtual_methods")
-        rows = None
-        for kind in kinds:
-            one = self.classes().select(self.key, "class", F.lit(kind).alias("kind"), F.explode(f"data.{kind}").alias("m")).select(self.key, "class", "kind", F.col("m.idx").alias("member_idx"), F.col("m.access_flags").alias("access_flags"))
-            pool = self.fields() if "fields" in kind else self.methods()
-            one = resolve(one, pool.drop("class"), "member_idx", "idx", "name", "name", [self.key]).select(self.key, "class", "kind", "name", "access_flags")
-            rows = one if rows is None else rows.union(one)
-        return rows
+        """(file, class, kind, name, access_flags) of all fields and methods that classes define, by one join with both pools."""
+        kinds = {"static_fields": "field", "instance_fields": "field", "direct_methods": "method", "virtual_methods": "method"}
+
+        def of(kind: str, pool: str) -> Column:
+            return F.transform(F.col(f"data.{kind}"), lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(pool).alias("pool"), m["idx"].alias("member_idx"), m["access_flags"].alias("access_flags")))
+
+        each = self.classes().select(self.key, "class", F.inline(F.concat(*(of(*x) for x in kinds.items()))))
+        names = self.fields().select(self.key, F.lit("field").alias("pool"), "idx", "name").union(self.methods().select(self.key, F.lit("method").alias("pool"), "idx", "name"))
+        return resolve(each, names, "member_idx", "idx", "name", "name", [self.key, "pool"]).select(self.key, "class", "kind", "name", "access_flags")
 
     def bodies(self) -> DataFrame:
         """(file, method, registers, ins, outs, instructions, tries, debug) of all methods that have code."""

@@ -22,19 +22,24 @@ class Tokens:
         self.places: list[int] = []
         i = c.at
         while i < c.end:
-            m = pattern.match(c.data, i, c.end)
-            if m is None or m.end() == i:
+            kind, end = self.token(pattern, i)
+            if end == i:
                 raise ParseFailure("Unexpected", f"no token begins with {c.data[i]!r}", i)
-            if m.lastgroup != "skip":
-                self.kinds.append(m.lastgroup)
-                self.texts.append(m[0])
+            if kind != "skip":
+                self.kinds.append(kind)
+                self.texts.append(c.data[i:end])
                 self.places.append(i)
-            i = m.end()
+            i = end
         self.kinds.append("end")
         self.texts.append("")
         self.places.append(c.end)
         self.worst: ParseFailure | None = None
 
+    def token(self, pattern: re.Pattern, i: int) -> tuple[str, int]:
+        """Kind and end of the token at i, the same i if there is none. Languages whose tokens depend on those before override this."""
+        m = pattern.match(self.cursor.data, i, self.cursor.end)
+        return (m.lastgroup, m.end()) if m else ("", i)
+
     @property
     def kind(self) -> str:
         return self.kinds[self.at]

@@ -418,6 +418,23 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def _javascript(k: int, x: str) -> str:
+    return f"'use strict';\nclass Item{k} {{ static id = {k}; get half() {{ return this.n / 2 }} }}\nconst words = [{', '.join(repr(w) for w in x.split()[:9] if w.isalpha())}]\nfor (const w of words) if (/^a/.test(w)) console.log(`${{w}} ${{w.length > {k} ? 'long' : 'short'}}`)\n"
+
+
+@query("javascript_round_trip", "select item_id, true as same from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _printed(spark, sf_dir, "javascript", _javascript)
+
+
+@query("javascript_numbers", "select item_id, unnest(['2', item_id::varchar]) as value, unnest(['BinaryExpression', 'PropertyDefinition']) as inside from benchmark union all select item_id, item_id::varchar, 'BinaryExpression' from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = tables.node_table(_written(t(spark, sf_dir, "benchmark"), "item_id", "text", _javascript, "string"), "item_id", "data", "javascript")
+    numbers = nodes.where("field = 'value' and type = 'int'").select("item_id", C("parent_id").alias("node_id"), C("value").alias("number"))
+    literals = nodes.where("type = 'Literal'").join(numbers, ["item_id", "node_id"]).select("item_id", C("parent_id").alias("node_id"), C("number").alias("value"))
+    return literals.join(nodes.select("item_id", "node_id", C("type").alias("inside")), ["item_id", "node_id"]).select("item_id", "value", "inside")
+
+
 SMALI = "struct<class string, superclass string, source_file string, fields array<struct<name string, field_type string, value struct<type string, value string>>>, methods array<struct<name string, prototype struct<shorty string>, kind string, access_flags array<string>, code struct<registers int, ins int, instructions array<struct<operation string, registers array<int>, literal long, string string, target_index int>>, tries array<struct<start_index int, end_index int, handler_index int>>>>>>"
 
 

@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.cursor import Cursor, ParseFailure, run
-from . import android_package, bson, dalvik_bytecode, dex, java, java_text, json_text, keystore, regex_ast, s_expression, shell, shell_text, smali, zig, zig_text, zip_archive
+from . import android_package, bson, dalvik_bytecode, dex, java, java_text, javascript, javascript_text, json_text, keystore, regex_ast, s_expression, shell, shell_text, smali, zig, zig_text, zip_archive
 
 #: Name to (parser, reads bytes).
 FORMATS: dict[str, tuple[Callable[[Cursor], object], bool]] = {
-    "json": (json_text.value, False), "s_expression": (s_expression.document, False), "regex": (regex_ast.alternation, False), "shell": (shell.script, False), "java": (java.compilation_unit, False), "zig": (zig.source_file, False), "smali": (smali.class_definition, False),
+    "json": (json_text.value, False), "s_expression": (s_expression.document, False), "regex": (regex_ast.alternation, False), "shell": (shell.script, False), "java": (java.compilation_unit, False), "zig": (zig.source_file, False), "smali": (smali.class_definition, False), "javascript": (javascript.program, False),
     "bson": (bson.document, True), "zip": (zip_archive.archive, True), "apk": (android_package.package, True), "keystore": (keystore.keystore, True), "dex": (dex.executable, True), "dalvik": (dalvik_bytecode.instructions, True),
 }
 #: Printers of trees that the parsers of the same name give.
-PRINTERS: dict[str, Callable[[dict], str]] = {"shell": shell_text.script, "java": java_text.text, "zig": zig_text.text}
+PRINTERS: dict[str, Callable[[dict], str]] = {"shell": shell_text.script, "java": java_text.text, "zig": zig_text.text, "javascript": javascript_text.text}
 VALUE = "value string, error struct<name string, message string, position bigint, depth int>"
 NODES = "node_id bigint, parent_id bigint, ordinal int, field string, type string, value string"
 

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from lexmill.operators.cursor import ParseFailure, run
-from lexmill.sources import java, java_text, smali, tables, zig, zig_text
+from lexmill.sources import java, java_text, javascript, javascript_text, smali, tables, zig, zig_text
 
 JAVA = r"""
 @A package a.b.c; import java.util.*; import static x.Y.z;
@@ -243,3 +243,57 @@ def test_smali_payloads():
     assert code["registers"] == 4 and code["instructions"][0]["registers"] == [3]
     assert code["instructions"][3] == {"operation": "sparse-switch-payload", "keys": [-1], "target_indices": [2], "owner_index": 0}
     assert code["instructions"][4] == {"operation": "fill-array-data-payload", "width": 1, "data": [1, -2], "owner_index": 1}
+
+
+JAVASCRIPT = r'''"use strict";
+// c
+var a = 1, b = a / 2 / 3, r = /x[/]\/y/gi.test(s);
+let { x, y: [z = 1, ...w], ...rest } = obj; const f = async (p, { q = 2 } = {}, ...more) => await p ** 2;
+function* g(n) { yield n; yield* g(n - 1); for (let i = 0, k; i < n; i++, k--) continue; }
+class A extends B.c { static #p = 1; m() { return super.m(`t ${a + `n ${b}`} {z}`); } get v() { return this.#p } static { } async *gen() {} constructor() { super(); } [k] = 3; }
+outer: for (const k in o) { if (k) break outer; else { } }
+for (const v of [1, , 2]) do { } while (v)
+switch (q) { case 1: case 2: f(); break; default: }
+try { throw new Error("e\n") } catch ({ m }) { } finally { }
+o?.a?.[b]?.(c).d; x = y ? z : (1, 2); [p, q] = [q, p]; ({ a: n.b, c = 1 } = o);
+const t = { a, 'b': 1, [c]: 2, d() {}, get e() { return 1 }, async f() {}, ...g };
+a ?? b; a || b && c | d; typeof -x; delete o.p; i++; --j; new X; new Y.Z(1)(2); tag`a\n`
+if (a) b
+else c
+result = 0x1F + 1_000 + .5 + 1e3 + 10n; (function () { return function named() { } })(); (() => ({}))()
+while (1) ; ;
+'''
+
+
+def test_javascript_program():
+    tree = run(javascript.program, JAVASCRIPT)
+    assert run(javascript.program, javascript_text.text(tree)) == tree
+    assert tree["body"][0]["directive"] == "use strict" and sum("directive" in x for x in tree["body"]) == 1
+    kinds = {n[4] for n in tables.flatten(tree)}
+    assert {"ChainExpression", "TemplateLiteral", "ArrowFunctionExpression", "ObjectPattern", "YieldExpression", "AwaitExpression", "PropertyDefinition", "StaticBlock", "TaggedTemplateExpression"} <= kinds
+
+
+@pytest.mark.parametrize("text", ["(a, b)", "(a = b) + c", "(a + b) * c", "a - (b - c)", "(-a) ** b", "a ** b ** c", "(a ** b) ** c", "(() => 1)()", "(async () => {})()", "new (f())()", "new (a.b().c)()", "(new X).y", "(a ?? b) || c", "- -a", "+ ++a", "-(-1)", "(a, b) ? c : d", "(a ? b : c) ? d : e", "1..x", "(1).x", "(a?.b).c", "a?.b.c", "typeof (() => 1)", "(function(){})()", "({}).x", "() => ({})", "() => ({}).x", "!(a in b)", "(yield_)", "`a${`b${c}`}`", "a = b = c", "(x => x) || y", "class extends (a, b) {}", "[...a, , ]", "[,]", "({ ...a })", "a / b / c", "x ? /a/ : /b/g"])
+def test_javascript_parentheses(text):
+    tree = run(javascript.program, f"x = {text};")
+    assert run(javascript.program, javascript_text.text(tree)) == tree
+
+
+def value_of(text):
+    return run(javascript.program, text)["body"][0]["expression"]
+
+
+def test_javascript_values():
+    assert [value_of(x)["value"] for x in ("0x1F", "1_000", ".5", "1e3", "0b11", "'a\\x41\\u{1F600}\\n'")] == [31, 1000, 0.5, 1000, 3, "aA\U0001f600\n"]
+    assert value_of("10n")["bigint"] == "10" and value_of("/a[/]b/gi")["regex"] == {"pattern": "a[/]b", "flags": "gi"}
+    assert value_of("a / b / c")["operator"] == "/" and value_of("a ** b ** c")["right"]["operator"] == "**" and value_of("a - b - c")["left"]["operator"] == "-"
+    assert len(run(javascript.program, "a\nb\n++c")["body"]) == 3 and run(javascript.program, "function f() { return\n1 }")["body"][0]["body"]["body"][0]["argument"] is None
+
+
+@pytest.mark.parametrize("text", ["a b", "(", "x = ;", "`a", "`${`", "let", "for (;;", "throw\n1", "({a b})", "class {}", "1 = 2", "x = " + "(" * 5000, "try {}"])
+def test_javascript_failures(text):
+    if text == "let":
+        assert value_of(text)["name"] == "let"
+        return
+    with pytest.raises(ParseFailure):
+        run(javascript.program, text)

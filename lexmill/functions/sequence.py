@@ -54,6 +54,8 @@ def byte_at(b: Column, i: Column | int) -> Column:
 
 def index_of(s: Column, what: Column | str | bytes, start: Column | int = 0) -> Column:
     """Position of the first occurrence at or after start, else -1. An empty subsequence is found at start."""
+    if isinstance(start, int) and start == 0:
+        return (F.position(as_column(what), s) - 1).cast("int")
     start, what = as_column(start), as_column(what)
     found = F.position(what, F.substring(s, start + 1, F.greatest(F.length(s) - start, F.lit(0))))
     return F.when(F.length(what) == 0, start).when(found > 0, found - 1 + start).otherwise(F.lit(-1)).cast("int")
@@ -61,8 +63,7 @@ def index_of(s: Column, what: Column | str | bytes, start: Column | int = 0) ->
 
 def rest_from(s: Column, start: Column | int) -> Column:
     """What follows position start; empty beyond the end."""
-    start = as_column(start)
-    return F.substring(s, start + 1, F.greatest(F.length(s) - start, F.lit(0)))
+    return F.substring(s, as_column(start) + 1, F.lit(2**31 - 1))
 
 
 def equals(a: Column, b: Column) -> Column:

@@ -47,7 +47,9 @@ def fixed(n: Column | int) -> Parser:
     """Exactly n elements; a negative n is an error of the grammar."""
     if isinstance(n, int) and n < 0:
         raise ValueError("a length is at least 0")
-    return lambda s: let(slice_(s, 0, n), lambda v: _when(v.isNotNull(), v, as_column(n)))
+    if isinstance(n, int):
+        return lambda s: _when(F.length(s) >= n, F.substring(s, 1, n), F.lit(n))
+    return lambda s: let(slice_(s, 0, n), lambda v: _when(v.isNotNull(), v, n))
 
 
 def skip(n: Column | int) -> Parser:
@@ -82,7 +84,12 @@ def regex(pattern: str, group: int = 0) -> Parser:
 
 def terminated(end: str | bytes, take_end: bool = True) -> Parser:
     """What comes before the first end, which is used up unless told otherwise; fails without one."""
-    return lambda s: let(index_of(s, end), lambda i: _when(i >= 0, F.substring(s, F.lit(1), i), i + (len(end) if take_end else 0)))
+
+    def parser(s: Column) -> Column:
+        i = index_of(s, end)  # compiled code finds it once
+        return _when(i >= 0, F.substring(s, F.lit(1), i), i + (len(end) if take_end else 0))
+
+    return parser
 
 
 def terminated_pieces(end: str) -> Parser:
@@ -221,6 +228,11 @@ def parse_prefix(p: Parser, s: Column) -> Column:
     return let(p(s), lambda r: F.when(r.isNotNull(), F.struct(r["value"].alias("value"), r["used"].alias("position"), rest_from(s, r["used"]).alias("remaining"))))
 
 
+def parse_value(p: Parser, s: Column) -> Column:
+    """The value, whatever follows, null where p fails; what remains isn't built."""
+    return p(s)["value"]
+
+
 def parse_strict(p: Parser, s: Column) -> Column:
     """As parse, but a failure stops the query."""
     return let(p(s), lambda r: F.when(r["used"] >= F.length(s), r["value"]).when(r.isNotNull(), F.raise_error(F.lit("input remains"))).otherwise(F.raise_error(F.lit("the input doesn't parse"))))

@@ -87,3 +87,12 @@ def test_integers(spark, width, little):
         assert int(one(spark, N.uint(F.col("s"), 0, width, little), raw, "binary")) == v
         assert one(spark, N.sint(F.col("s"), 0, width, little), raw, "binary") == int.from_bytes(raw, "little" if little else "big", signed=True)
     assert one(spark, N.uint(F.col("s"), 1, width, little), bytearray(width), "binary") is None
+
+
+def test_values_only(spark):
+    v = lambda p, x: one(spark, G.parse_value(p, F.col("s")), x)
+    assert v(G.fixed(2), "abc") == "ab" and v(G.fixed(2), "a") is None and v(G.fixed(0), "") == "" and v(G.fixed(1), None) is None
+    assert v(G.terminated("."), "a.b") == "a" and v(G.terminated("."), "ab") is None and v(G.terminated("."), ".") == "" and v(G.terminated("é"), "añé") == "añ"
+    assert one(spark, S.index_of(F.col("s"), ""), "abc") == 0 and one(spark, S.rest_from(F.col("s"), 9), "abc") == "" and one(spark, S.rest_from(F.col("s"), 1), "abc") == "bc"
+    assert bytes(one(spark, S.rest_from(F.col("s"), 1), bytearray(b"\xff\xfe\x00"), "binary")) == b"\xfe\x00"
+    assert one(spark, S.index_of(F.col("s"), b"\x02"), bytearray(b"\xff\x02"), "binary") == 1

@@ -174,6 +174,29 @@ def test_decontamination(spark, docs):
     assert decontaminate.overlaps(docs([]), bench).count() == 0 and decontaminate.overlaps(docs(rows), bench.where("false")).count() == 0
 
 
+def windows(words, tokens, shift):
+    """Most equal tokens of a window along one alignment that is long and equal enough, None without one."""
+    e = [tokens[j + shift] == w if 0 <= j + shift < len(tokens) else None for j, w in enumerate(words)]
+    sums = [(sum(e[a:b]), b - a) for a in range(len(e)) for b in range(a + min(13, len(e)), len(e) + 1) if None not in e[a:b]]
+    return max((n for n, size in sums if 5 * n >= 4 * size), default=None)
+
+
+def test_decontamination_with_changes_anywhere(spark, docs):
+    """Items of 12 to 20 tokens with changes at every position or pair of positions, against all windows."""
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (12, 13, 15, 20)}
+    places = [(n, p) for n in items for p in combinations(range(n), 1)] + [(13, p) for p in combinations(range(13), 2)] + [(15, (2, 7, 12)), (20, (0, 1, 18, 19)), (20, (0, 1, 2, 17, 18, 19)), (20, tuple(range(0, 20, 3)))]
+    rows, want = [], {}
+    for i, (n, p) in enumerate(places):
+        tokens = [f"x{k}" for k in range(i % 3)] + ["zz" if k in p else w for k, w in enumerate(items[n])] + ["y"] * (i % 2)
+        rows.append((i, " ".join(tokens)))
+        if (best := windows(items[n], tokens, i % 3)) is not None:
+            want[i] = (n, best)
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = decontaminate.overlaps(docs(rows), bench).collect()
+    assert {r.doc_id: (r.item_id, r.n_equal) for r in got} == want and len(got) == len(want) < len(rows)
+    assert all(r.n_tokens >= min(13, r.item_id) and 5 * r.n_equal >= 4 * r.n_tokens for r in got)
+
+
 def test_decontamination_of_all(spark):
     found = {(r.doc_id, r.item_id) for r in entry_queries.op5_benchmark_decontamination(spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()

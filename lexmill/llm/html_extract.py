@@ -29,13 +29,14 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPE = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "td", "th", "blockquote", "aside", "nav", "form"}
 NEVER = set("head nav aside footer form button select option dialog menu template svg math canvas object audio video map datalist input".split())
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
-#: Parts of class names and ids that pages use for what is not the article.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Class names and ids that pages use for what is not the article, alone or joined to one another (cookie-notice).
 ASIDE_WORDS = set("ad ads adv advert adverts advertisement advertising adsense adbox banner banners promo promos promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices alert alerts popup modal overlay sidebar sidebars comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar newsletter subscribe subscription signup login search widget widgets pagination pager copyright".split())
 
 
 @dataclass
 class Text:
-    """A piece of text: its block, its path of element keys, the structural token before it, and what surrounds it."""
+    """A piece of text: its block, its path of element keys, the structural token before it, and what surrounds it; marked: aside by a name of ASIDE_WORDS."""
 
     block: int
     path: tuple[str, ...]
@@ -44,6 +45,14 @@ class Text:
     main: bool
     link: bool
     value: str
+    marked: bool = False
+
+
+@dataclass
+class Named:
+    """An element with a class or id of ASIDE_WORDS; one that turns out to hold the article is no aside."""
+
+    holds: bool = False
 
 
 @dataclass
@@ -52,9 +61,16 @@ class Page:
     texts: list[Text] = field(default_factory=list)
 
 
+def aside_name(name: str) -> bool:
+    """Whether a class or id is one of ASIDE_WORDS or made of nothing else; has-comments or related-work aren't."""
+    parts = [w.lower() for w in PARTS.findall(name) if not w.isdigit()]
+    return name.lower() in ASIDE_WORDS or bool(parts) and all(w in ASIDE_WORDS for w in parts)
+
+
 def parse(html: str) -> Page:
     """Structural tokens (element keys by path, opening and closing) and texts of a page, however malformed."""
     page, stack, block, at, low = Page(), [], 0, 0, None
+    inside: list[tuple[Text, tuple[Named, ...]]] = []  # texts in elements with such names
 
     def shut(n: int) -> None:
         nonlocal block
@@ -66,6 +82,8 @@ def parse(html: str) -> Page:
     def text(value: str) -> None:
         if value and not value.isspace():
             page.texts.append(Text(block, stack[-1][5] if stack else (), len(page.tokens) - 1, bool(stack and stack[-1][2]), bool(stack and stack[-1][3]), bool(stack and stack[-1][4]), unescape(value)))
+            if stack and stack[-1][6]:
+                inside.append((page.texts[-1], stack[-1][6]))
         elif value and page.texts and page.texts[-1].block == block:
             page.texts[-1].value += " "
 
@@ -110,12 +128,21 @@ def parse(html: str) -> Page:
         inside_main = bool(stack and stack[-1][3])
         words = {w.lower() for w in PARTS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
         role = attrs.get("role", "").lower()
-        aside = bool(stack and stack[-1][2]) or name in NEVER or role in ASIDE_ROLES or bool(words & ASIDE_WORDS and name not in ("html", "body", "main")) or (not inside_main and (name == "header" or "header" in words and name not in ("html", "body", "main", "article")))
-        main = inside_main or name in ("article", "main") or role in ("main", "article") or attrs.get("itemprop") == "articleBody"
+        aside = bool(stack and stack[-1][2]) or name in NEVER or role in ASIDE_ROLES or (not inside_main and name == "header")
+        here = name in ("article", "main") or role in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody"
+        main = inside_main or here
+        around = stack[-1][6] if stack else ()
+        if here:
+            for n in around:
+                n.holds = True
+        elif name not in ("html", "body") and name not in HEADINGS and any(aside_name(w) or w.lower() == "header" and not inside_main for w in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()):
+            around = (*around, Named())
         key = f"{stack[-1][1] if stack else ''}>{name}" + "".join(f".{w}" for w in sorted(words) if not w.isdigit())
-        stack.append((name, key, aside, main, bool(stack and stack[-1][4]) or name == "a", (stack[-1][5] if stack else ()) + (key,)))
+        stack.append((name, key, aside, main, bool(stack and stack[-1][4]) or name == "a", (stack[-1][5] if stack else ()) + (key,), around))
         page.tokens.append(key)
     shut(0)
+    for x, around in inside:
+        x.marked = any(not n.holds for n in around)
     return page
 
 
@@ -165,13 +192,13 @@ def main_texts(pages: list[Page]) -> list[str]:
     weight: Counter = Counter()
     for p, at in zip(pages, where, strict=True):
         for x, s in zip(p.texts, at, strict=True):
-            if not x.aside and not x.link and (len(pages) < 3 or fixed[x.value.strip()] < len(pages)):
+            if not (x.aside or x.marked) and not x.link and (len(pages) < 3 or fixed[x.value.strip()] < len(pages)):
                 weight[s] += len(x.value)
     best = max(weight, key=lambda s: (weight[s], -s), default=None)
     shared: tuple[str, ...] | None = None
     for p, at in zip(pages, where, strict=True):
         for x, s in zip(p.texts, at, strict=True):
-            if s == best and not x.aside:
+            if s == best and not (x.aside or x.marked):
                 n = 0
                 if shared is not None:
                     while n < min(len(shared), len(x.path)) and shared[n] == x.path[n]:
@@ -180,10 +207,13 @@ def main_texts(pages: list[Page]) -> list[str]:
     deep = shared if shared and not re.fullmatch(r"(>(html|body)[^>]*)*", shared[-1]) else None
     out = []
     for p, at in zip(pages, where, strict=True):
-        chosen = [x for x in p.texts if x.main and not x.aside]
+        chosen = [x for x in p.texts if x.main and not (x.aside or x.marked)]
         if not any(x.main for x in p.texts):
-            chosen = [x for x, s in zip(p.texts, at, strict=True) if not x.aside and (deep is None or s == best or x.path[: len(deep)] == deep)]
-            chosen = chosen or [x for x in p.texts if not x.aside and not x.link]
+            chosen = [x for x, s in zip(p.texts, at, strict=True) if not (x.aside or x.marked) and (deep is None or s == best or x.path[: len(deep)] == deep)]
+            chosen = chosen or [x for x in p.texts if not (x.aside or x.marked) and not x.link]
+        if not chosen:  # names alone never empty a page
+            has = any(x.main for x in p.texts)
+            chosen = [x for x in p.texts if not x.aside and (x.main or not has and not x.link)]
         blocks: dict[int, list[str]] = defaultdict(list)
         for x in chosen:
             blocks[x.block].append(x.value)
@@ -197,7 +227,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Pages are dealt by host, hot hosts by host and a salt, and each task deduces a template for each block of up to
     BLOCK_PAGES consecutive pages of one host, so no task holds a host. Of a page's texts those in the article's slots
     are extracted: the slots within article or main elements, else the slot with most text; what is marked as menu,
-    form, advert, comment and the like is left out wherever it stands. Texts that recur on all pages of a block are
+    form, advert, comment and the like is left out wherever it stands: by element or role, or by a whole class name or
+    id, which counts for no heading, article, main element or what holds one, and never empties a page. Texts that recur on all pages of a block are
     template only outside an article element, since copies of one article recur as well. Null, empty and textless
     pages give ''; null urls share a host; repeated rows and null ids stay; other columns are left out.
     """

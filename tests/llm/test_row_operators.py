@@ -211,3 +211,17 @@ def test_html_copies_keep_their_text(spark):
     page = PAGE.format(open="<article>", close="</article>", title="Same", more="")
     got = html_extract.extract(spark.createDataFrame([(i, "http://h.example/", page) for i in range(70)], "page_id long, url string, html string")).collect()
     assert len(got) == 70 and {r.text for r in got} == {"Same First & bold text next line Second paragraph A"}
+
+
+@pytest.mark.parametrize("name", ["post category-social", "article has-comments", "widget", "related"])
+@pytest.mark.parametrize("tag", ["article", "main", "div itemprop=articleBody"])
+def test_html_names_dont_drop_articles(name, tag):
+    """Names on an article, on what holds it, on headings and as a part of a name drop nothing."""
+    end = tag.split()[0]
+    page = f'<body><div class="site-content no-sidebar widget"><{tag} class="{name}"><h2 id="social">One</h2><section id="related-work"><p>Two</p></section><div class="ad">Buy</div></{end}></div><div class="widget">Out</div></body>'
+    assert html_extract.main_texts([html_extract.parse(page)]) == ["One Two"]
+
+
+def test_html_names_never_empty_a_page():
+    pages = [html_extract.parse(f'<body><article><div class="widget"><p>Text {i}</p></div></article></body>') for i in range(3)]
+    assert html_extract.main_texts(pages) == [f"Text {i}" for i in range(3)]

@@ -150,8 +150,7 @@ def deduce(pages: list[Page]) -> list[str]:
     """The template: tokens that share the occurrence vector (1, ..., 1), as far as their order is the same in all pages.
 
     Tokens are grouped by their vector of counts over the pages. The class that occurs once in each page is the
-    template's trunk; a class of other counts nests into the one slot of the trunk that holds all its tokens, and is
-    part of that slot's repeated content; a class that spreads over slots isn't valid and is left out.
+    template's trunk, and its slots hold all other tokens; the other classes are neither nested nor validated.
     """
     vectors: dict[str, list[int]] = defaultdict(lambda: [0] * len(pages))
     for i, p in enumerate(pages):
@@ -185,31 +184,34 @@ def slots(page: Page, template: list[str]) -> list[int]:
 
 def main_texts(pages: list[Page]) -> list[str]:
     """The main text of each page of one block."""
-    template = deduce(pages)
-    where = [slots(p, template) for p in pages]
-    fixed = Counter(v for p in pages for v in {x.value.strip() for x in p.texts})
-    # slots of the article by its element, over all pages of the block; else the slot with most text of its own
-    weight: Counter = Counter()
-    for p, at in zip(pages, where, strict=True):
-        for x, s in zip(p.texts, at, strict=True):
-            if not (x.aside or x.marked) and not x.link and (len(pages) < 3 or fixed[x.value.strip()] < len(pages)):
-                weight[s] += len(x.value)
-    best = max(weight, key=lambda s: (weight[s], -s), default=None)
+    # pages that name their article need no template, and those of another layout would leave none
+    plain = [p for p in pages if not any(x.main for x in p.texts)]
+    template = deduce(plain)
+    where = [slots(p, template) for p in plain]
+    fixed = Counter(v for p in plain for v in {x.value.strip() for x in p.texts})
+    # slots that hold text of a page's own, and the deepest path that all such text shares
+    own: set[int] = set()
     shared: tuple[str, ...] | None = None
-    for p, at in zip(pages, where, strict=True):
+    for p, at in zip(plain, where, strict=True):
         for x, s in zip(p.texts, at, strict=True):
-            if s == best and not (x.aside or x.marked):
+            if not (x.aside or x.marked) and not x.link and (len(plain) < 3 or fixed[x.value.strip()] < len(plain)):
+                own.add(s)
                 n = 0
                 if shared is not None:
                     while n < min(len(shared), len(x.path)) and shared[n] == x.path[n]:
                         n += 1
                 shared = x.path if shared is None else shared[:n]
     deep = shared if shared and not re.fullmatch(r"(>(html|body)[^>]*)*", shared[-1]) else None
+    # where only one element, such as the one paragraph of each page, holds own text, its neighbours belong to it
+    while deep and deep[-1].rsplit(">", 1)[-1].split(".")[0] not in ("div", "section", "td"):
+        deep = deep[:-1]
+    deep = deep if deep and not re.fullmatch(r"(>(html|body)[^>]*)*", deep[-1]) else None
+    at_of = {id(p): at for p, at in zip(plain, where, strict=True)}
     out = []
-    for p, at in zip(pages, where, strict=True):
+    for p in pages:
         chosen = [x for x in p.texts if x.main and not (x.aside or x.marked)]
-        if not any(x.main for x in p.texts):
-            chosen = [x for x, s in zip(p.texts, at, strict=True) if not (x.aside or x.marked) and (deep is None or s == best or x.path[: len(deep)] == deep)]
+        if id(p) in at_of:
+            chosen = [x for x, s in zip(p.texts, at_of[id(p)], strict=True) if not (x.aside or x.marked) and (x.path[: len(deep)] == deep if deep else not own or s in own)]
             chosen = chosen or [x for x in p.texts if not (x.aside or x.marked) and not x.link]
         if not chosen:  # names alone never empty a page
             has = any(x.main for x in p.texts)
@@ -226,7 +228,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Pages are dealt by host, hot hosts by host and a salt, and each task deduces a template for each block of up to
     BLOCK_PAGES consecutive pages of one host, so no task holds a host. Of a page's texts those in the article's slots
-    are extracted: the slots within article or main elements, else the slot with most text; what is marked as menu,
+    are extracted: what lies in article or main elements, whatever the template; on other pages of the block all that
+    lies in the deepest element around their own texts, or if that is the body the slots with own text. What is marked as menu,
     form, advert, comment and the like is left out wherever it stands: by element or role, or by a whole class name or
     id, which counts for no heading, article, main element or what holds one, and never empties a page. Texts that recur on all pages of a block are
     template only outside an article element, since copies of one article recur as well. Null, empty and textless

@@ -225,3 +225,13 @@ def test_html_names_dont_drop_articles(name, tag):
 def test_html_names_never_empty_a_page():
     pages = [html_extract.parse(f'<body><article><div class="widget"><p>Text {i}</p></div></article></body>') for i in range(3)]
     assert html_extract.main_texts(pages) == [f"Text {i}" for i in range(3)]
+
+
+@pytest.mark.parametrize("other", ["", "<article>Else</article>"])
+def test_html_div_layout_keeps_all_slots(other):
+    """Headings, lists, tables and quotes that occur once a page, on a host without articles and beside one."""
+    page = '<body><div class="top">Site</div><div class="content"><h1>H{0}</h1><p>P{0} is the longest text</p><p>Q{0}</p><h2>S{0}</h2><ul><li>L{0}</li></ul><table><tr><td>T{0}</td></tr></table><blockquote>B{0}</blockquote></div><div class="bottom">Bye</div></body>'
+    bare = page.replace('<div class="content">', "").replace("</blockquote></div>", "</blockquote>")
+    for html in (page, bare):
+        got = html_extract.main_texts([html_extract.parse(h) for h in [html.format(i) for i in range(5)] + [other] * bool(other)])
+        assert got[:5] == [f"H{i} P{i} is the longest text Q{i} S{i} L{i} T{i} B{i}" for i in range(5)]

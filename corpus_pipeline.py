@@ -12,8 +12,6 @@ from lexmill.llm.common import cut, ensure_checkpoint_dir, small, table
 
 #: Near duplicates: words of a shingle and least similarity in percent.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
-#: A document goes if its quality is below this; between it and the classifier's own threshold it gets the benefit of the doubt.
-LEAST_QUALITY = 0.5
 
 
 def drop_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -25,7 +23,7 @@ def drop_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier doesn't reject; it learns from the labelled documents outside the held-out fold."""
     model = crf_quality.train(docs, table(spark, sf_dir, "labels"))
-    return drop_ids(docs, crf_quality.quality(docs, model).where(F.col("score") < LEAST_QUALITY).select("doc_id"))
+    return drop_ids(docs, crf_quality.quality(docs, model).where("predicted = 0").select("doc_id"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -224,3 +224,11 @@ def test_pipeline_stages_with_odd_rows(spark, docs, odd):
     for name, stage in corpus_pipeline.STAGES:
         for rows in (odd, []):
             assert stage(spark, docs(rows), SF).count() <= (len(rows) if name != "packing" else 10**6), name
+
+
+def test_quality_stage_drops_what_the_classifier_rejects(spark, docs, monkeypatch):
+    scores = spark.createDataFrame([(1, 0.4, 0), (2, 0.6, 0), (3, 0.8, 1)], "doc_id long, score double, predicted int")
+    monkeypatch.setattr(corpus_pipeline.crf_quality, "train", lambda *_: None)
+    monkeypatch.setattr(corpus_pipeline.crf_quality, "quality", lambda *_: scores)
+    kept = corpus_pipeline.quality_stage(spark, docs([(i, f"text {i}") for i in (1, 2, 3)]), SF)
+    assert [r.doc_id for r in kept.collect()] == [3]

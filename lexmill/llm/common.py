@@ -9,11 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-#: Rows up to which a table of ids or hashes may be broadcast; beyond it the same join shuffles.
-BROADCAST_ROWS = 400_000
+#: Bytes up to which a measured table may be broadcast; beyond it the same join shuffles.
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(path)
         return path
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -39,10 +42,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """df (already cut), hinted for broadcast if its counted rows stay within the bound."""
-    fits = df.limit(most + 1).count() <= most
-    return (F.broadcast(df) if fits else df), fits
+def cut_and(df: DataFrame, *measures: Column) -> tuple[DataFrame, list]:
+    """df cut, and aggregates over its rows taken on the way, without another job. A task that ran twice may count twice."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("m0"), *(m.alias(f"m{i}") for i, m in enumerate(measures, 1))))
+    return out, [seen.get[f"m{i}"] for i in range(len(measures) + 1)]
+
+
+def _width(name: str, kind: DataType) -> Column:
+    """Bytes of a column of the table in hand, as a broadcast holds them."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        each = F.transform(c, lambda x: F.coalesce(F.octet_length(x), F.lit(0)) + 16) if isinstance(kind.elementType, (StringType, BinaryType)) else None
+        inner = 8 * len(kind.elementType.fields) + 16 if isinstance(kind.elementType, StructType) else 8
+        return F.coalesce((F.size(c) * inner if each is None else F.aggregate(each, F.lit(0), lambda a, x: a + x)), F.lit(0)) + 24
+    return F.lit(8)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """df, cut and measured on the way; hinted for broadcast if all its rows take at most so many bytes."""
+    width = sum((_width(f.name, f.dataType) for f in df.schema.fields), F.lit(32)).cast("long")
+    out, (_, size) = cut_and(df, F.sum(width))
+    if (size or 0) > most:
+        return out, False
+    return F.broadcast(out.coalesce(max(1, out.rdd.getNumPartitions() // 32))), True
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
@@ -78,29 +103,26 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long) as (node, component): each node that has an edge with the smallest node it reaches.
 
-    Alternating large-star and small-star steps; each replaces the edges by as many or fewer, is cut, and nothing
-    is gathered on the driver but three numbers. Null ends and loops are ignored; repeated edges count once.
+    Alternating large-star and small-star steps; each replaces the edges by as many or fewer and is cut. What says that
+    nothing moved any more is observed on the way: two numbers a round. Null ends and loops are ignored; repeated edges
+    count once; a node with very many edges is one of skewed joins, which adaptive execution splits.
     """
-    spark = edges.sparkSession
-    e = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    for _ in range(rounds):
-        # a > b in every row, so the smallest neighbour of a is min(b); that of b may be b itself
-        both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("m", "a").alias("m"))
-        # large star: every larger neighbour goes to the smallest of the neighbourhood
-        large = e.join(low, e.b == low.u).select(e.a.alias("a"), F.col("m").alias("b")).distinct()
-        # small star: smaller neighbours and the node itself go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a")
-        nxt = cut(moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct())
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        e = nxt
-        if tuple(now) == state:
+    sign = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    ends = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e, state = cut_and(ends, sign)
+    for _ in range(rounds if state[0] else 0):
+        # large star: the larger ends of a node go to the smallest of its neighbourhood, itself included
+        low = e.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        large = e.join(low, F.col("b") == F.col("u"), "left").select("a", F.coalesce("m", "b").alias("b"))
+        # small star: a node and its smaller ends go to the smallest of them
+        least = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        moved = least.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        before, (e, state) = state, cut_and(moved.where("a <> b").distinct(), sign)
+        if state == before:
             break
-        state = tuple(now)
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if state[0]:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 

@@ -1,4 +1,10 @@
-"""Quality by a linear-chain conditional random field over the lines of a document."""
+"""Quality by a linear-chain conditional random field over the lines of a document.
+
+Labels are of documents, the field's are of lines. A line starts with its document's label. So that chains change label,
+the field is also fitted on spliced chains: a run of lines of a document of one label inside a document of the other,
+each line with the label it came with. After a first fit, lines that contradict their document's label clearly take the
+other one, as long as lines with the document's label keep the larger part of its length; then the field is fitted anew.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import runs, text_blocks
 
-#: Labelled documents that the model is fitted on at most: those with the smallest hash of their id.
-TRAIN_DOCS = 4000
+#: Labelled documents that the model is fitted on at most: those with the smallest hash of their id; and their lines at
+#: most, so that the one task that fits holds no more (a document that would exceed them is left out of the fit).
+TRAIN_DOCS, TRAIN_LINES = 4000, 100_000
+#: Chance, by a first fit, of its document's label below which a line takes the other label.
+CONTRADICTS = 0.05
 BLOCK_CHARS = 300_000
 BASE = ("upper", "symbol", "bar", "digit", "stop", "bang", "twin", "copies", "words", "short", "seen", "length", "foreign", "other", "comma")
 N_BASE = len(BASE)
@@ -159,24 +168,58 @@ class Field:
         return 1 / (1 + np.exp(-(self.scale * np.log(m / (1 - m)) + self.shift)))
 
 
-def fit(x: np.ndarray, length: np.ndarray, n_lines: np.ndarray, good: np.ndarray, steps: int = 250, decay: float = 2.0) -> Field:
-    """Penalised likelihood of line labels; a document's lines take its label. Full-batch Adam, so ties and order play no part."""
-    if len(set(good.tolist())) < 2:
-        base = 0.0 if not len(good) else (4.0 if good[0] else -4.0)
-        return Field(np.concatenate((np.zeros(N_FEATURES - 1), [base])), np.zeros((2, 2)))
-    f = with_neighbours(x, n_lines)
-    y = np.repeat(good.astype(np.float64), n_lines)
-    inner = np.ones(len(f), bool)
-    inner[np.cumsum(n_lines) - n_lines] = False
-    seen = np.array([[(inner & (y == 0)).sum(), 0], [0, (inner & (y == 1)).sum()]], np.float64)
-    theta, m, v = np.zeros(N_FEATURES + 4), 0.0, 0.0
+def splice(x: np.ndarray, length: np.ndarray, n_lines: np.ndarray, line_good: np.ndarray, good: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, labels, lines of each chain): each document once with a run of lines of a document of the other label put into it.
+
+    rows are indices of lines; a run is at most as long as the document that takes it.
+    """
+    rng = np.random.default_rng(seed)
+    start = np.cumsum(n_lines) - n_lines
+    sides = [np.flatnonzero(good == side) for side in (False, True)]
+    rows, sizes = [], []
+    for d in range(len(n_lines)):
+        other = sides[0 if good[d] else 1]
+        o = other[rng.integers(len(other))]
+        k = int(rng.integers(1, min(n_lines[o], n_lines[d]) + 1))
+        begin, at = start[o] + int(rng.integers(0, n_lines[o] - k + 1)), start[d] + int(rng.integers(0, n_lines[d] + 1))
+        rows.append(np.concatenate((np.arange(start[d], at), np.arange(begin, begin + k), np.arange(at, start[d] + n_lines[d]))))
+        sizes.append(len(rows[-1]))
+    rows = np.concatenate(rows)
+    return rows, line_good[rows], np.array(sizes, np.int64)
+
+
+def _climb(f: np.ndarray, y: np.ndarray, n_lines: np.ndarray, theta: np.ndarray, steps: int, decay: float) -> np.ndarray:
+    """Penalised likelihood of line labels y in chains. Full-batch Adam, so ties and order play no part."""
+    to = np.ones(len(f), bool)
+    to[np.cumsum(n_lines) - n_lines] = False
+    to = np.flatnonzero(to)
+    seen = np.bincount(2 * y[to - 1].astype(int) + y[to].astype(int), minlength=4).astype(np.float64)
+    m, v = 0.0, 0.0
     for step in range(1, steps + 1):
-        model = Field(theta[:-4], theta[-4:].reshape(2, 2))
-        p, _, expected = model.marginals(f, n_lines, pairs=True)
-        grad = np.concatenate((f.T @ (p - y), (expected - seen).ravel())) + decay * theta
-        grad /= len(n_lines)
+        p, _, expected = Field(theta[:-4], theta[-4:].reshape(2, 2)).marginals(f, n_lines, pairs=True)
+        grad = (np.concatenate((f.T @ (p - y), expected.ravel() - seen)) + decay * theta) / len(n_lines)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta - 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return theta
+
+
+def fit(x: np.ndarray, length: np.ndarray, n_lines: np.ndarray, good: np.ndarray, steps: int = 120, decay: float = 2.0) -> Field:
+    """A field of lines, fitted as the module says, and the calibration of its document score."""
+    if len(set(good.tolist())) < 2:
+        base = 0.0 if not len(good) else (4.0 if good[0] else -4.0)
+        return Field(np.concatenate((np.zeros(N_FEATURES - 1), [base])), np.zeros((2, 2)))
+    start = np.cumsum(n_lines) - n_lines
+    own, theta = np.repeat(good, n_lines), np.zeros(N_FEATURES + 4)
+    y = own.copy()
+    for turn in range(2):
+        rows, labels, sizes = splice(x, length, n_lines, y, good)
+        chains = np.concatenate((with_neighbours(x, n_lines), with_neighbours(x[rows], sizes)))
+        theta = _climb(chains, np.concatenate((y, labels)).astype(np.float64), np.concatenate((n_lines, sizes)), theta, steps, decay)
+        if turn == 0:
+            p = Field(theta[:-4], theta[-4:].reshape(2, 2)).marginals(chains[: len(x)], n_lines)
+            turned = np.where(own, p, 1 - p) < CONTRADICTS
+            kept = np.add.reduceat(np.where(turned, 0, length), start) > np.add.reduceat(length, start) / 2
+            y = own ^ (turned & np.repeat(kept, n_lines))
     model = Field(theta[:-4], theta[-4:].reshape(2, 2))
     # calibration of the aggregated score on the same rows, both labels with one weight, since bad documents are few
     share = np.where(good, 0.5 / max(good.mean(), 1e-9), 0.5 / max(1 - good.mean(), 1e-9))
@@ -199,11 +242,12 @@ def held_out(column: str = "doc_id"):  # noqa: ANN201
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
-    """A field fitted on at most `most` labelled documents outside the held-out fold, features made on the executors.
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_lines: int = TRAIN_LINES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
+    """A field fitted on at most `most` labelled documents with `most_lines` lines outside the held-out fold.
 
-    Null labels and ids are left out; of repeated labels of one id the largest holds. Without rows of both labels the
-    score is constant.
+    Features are made where the documents are and go to one task that fits; the driver gets the weights alone. Null
+    labels and ids are left out; of repeated labels of one id the largest holds. Without rows of both labels the score
+    is constant.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     chosen = chosen.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col)).cast("int").alias("__y"))
@@ -211,21 +255,46 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            y = b.column(0).to_pylist()
+            y, rank = b.column(0).to_pylist(), b.column(2).to_pylist()
             for i, j, texts in text_blocks(b.column(1), BLOCK_CHARS):
                 x, length, n = line_features([t or "" for t in texts])
                 at = np.cumsum(n) - n
-                yield pa.RecordBatch.from_pydict({"y": pa.array(y[i:j], pa.int32()), "x": pa.array([x[a : a + k].astype(np.float32).tobytes() for a, k in zip(at, n, strict=True)], pa.binary()), "len": pa.array([length[a : a + k].astype(np.float64).tobytes() for a, k in zip(at, n, strict=True)], pa.binary())})
+                rows = [(y[i + d], rank[i + d], x[a : a + k].astype(np.float32).tobytes(), length[a : a + k].astype(np.float64).tobytes()) for d, (a, k) in enumerate(zip(at, n, strict=True)) if k <= most_lines]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["y", "rank", "x", "len"])
 
-    found = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
-    rows = found.select("__y", "__text").mapInArrow(run, "y int, x binary, len binary").collect()  # most x lines of a document
-    rows.sort(key=lambda r: (r[0], r[1], r[2]))
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in the order of rank; of one document given twice all rows count."""
+        rows, lines = [], 0
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if len(rows) < most and lines + len(r[3]) // 8 <= most_lines:
+                    rows.append(r)
+                    lines += len(r[3]) // 8
+        model = _fit_rows([(y, x, n) for y, _, x, n in rows])
+        yield pa.RecordBatch.from_pydict({"field": pa.array([np.concatenate((model.weights, model.moves.ravel(), [model.scale, model.shift])).tolist()], pa.list_(pa.float64()))})
+
+    found = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))  # most rows
+    rows = found.select("__y", "__text", F.xxhash64("__id").alias("__rank")).mapInArrow(run, "y int, rank long, x binary, len binary")
+    weights = rows.repartition(1).sortWithinPartitions("rank", "y", "x", "len").mapInArrow(one, "field array<double>").collect()  # one row
+    if not weights:
+        return _fit_rows([])
+    w = np.array(weights[0][0])
+    return Field(w[:-6], w[-6:-2].reshape(2, 2), float(w[-2]), float(w[-1]))
+
+
+def _fit_rows(rows: list[tuple[int, bytes, bytes]]) -> Field:
     if not rows:
         return fit(np.zeros((0, N_BASE)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
     n = np.array([len(r[2]) // 8 for r in rows])
     return fit(np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(-1, N_BASE).astype(np.float64), np.frombuffer(b"".join(r[2] for r in rows)), n, np.array([r[0] > 0 for r in rows]))
 
 
+def line_marginals(text: str, model: Field) -> np.ndarray:
+    """P(good) of each line of a text that has more than white space."""
+    x, _, n = line_features([text])
+    return model.marginals(with_neighbours(x, n), n)
+
+
 def score_texts(texts: list[str], model: Field) -> np.ndarray:
     return np.concatenate([model.score(*line_features(texts[i:j])) for i, j in runs([len(t) for t in texts], BLOCK_CHARS)] or [np.zeros(0)])
 
@@ -245,3 +314,15 @@ def quality(docs: DataFrame, model: Field, threshold: float = 0.7, id_col: str =
 
     scored = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, model: Field, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that score at least the threshold: one pass, decided row by row whatever the ids."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = np.concatenate([score_texts([t or "" for t in texts], model) for _, _, texts in text_blocks(b.column(at), BLOCK_CHARS)] or [np.zeros(0)])
+            yield b.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

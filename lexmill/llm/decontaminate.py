@@ -93,7 +93,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     every = [*masks, *("1" * n for n in sorted(short))]
     ready = items.select("__item", F.size("__words").alias("__n"), hashed(F.col("__words")).alias("hashes"))
     marks = _seed_rows(ready, ["__item"], every).groupBy("seed").agg(F.collect_set(F.struct("__item", F.col("pos").alias("__at"))).alias("__where"))
-    marks, _ = small(cut(marks))
+    marks, _ = small(marks)
 
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
     # seeds of one document as one array, so that its tokens are made once
@@ -109,11 +109,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
         pos = F.coalesce(pos, F.when(F.col("__k") < offset + n, F.col("__k") - offset))
         offset = offset + n
     hits = hits.select("__doc", pos.alias("__pos"), F.explode("__where").alias("__w")).select("__doc", F.col("__w.__item").alias("__item"), (F.col("__pos") - F.col("__w.__at")).alias("__shift")).distinct()
-    per_doc = cut(hits.groupBy("__doc", "__item").agg(F.collect_set("__shift").alias("__shifts")))
-
-    lines, _ = small(per_doc.withColumnsRenamed({"__doc": "__d"}), 100_000)
+    lines, _ = small(hits.groupBy("__doc", "__item").agg(F.collect_set("__shift").alias("__shifts")).withColumnRenamed("__doc", "__d"))
     back = texts.join(lines, F.col("__doc").eqNullSafe(F.col("__d"))).select("__doc", "__item", "__shifts", words_of(F.col("__text")).alias("__tokens"))
-    side, _ = small(items.select(F.col("__item").alias("__i"), "__words"), 100_000)
+    side, _ = small(items.select(F.col("__item").alias("__i"), "__words"))
     both = back.join(side, F.col("__item").eqNullSafe(F.col("__i"))).select("__doc", "__item", "__words", "__tokens", F.explode("__shifts").alias("__shift"))
     low = F.greatest(F.lit(0), -F.col("__shift"))
     high = F.least(F.size("__words"), F.size("__tokens") - F.col("__shift"))
@@ -132,8 +130,12 @@ def _dense(m: int, mask: str) -> Column:
     return F.expr(f"if(size(hashes) < {len(mask)}, cast(array() as array<bigint>), transform(sequence(0, size(hashes) - {len(mask)}), i -> xxhash64({picked}, {m})))")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:  # noqa: ANN003
-    """The rows of docs, all columns, whose id overlaps with no item of the benchmark."""
-    dirty = overlaps(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("__dirty")).distinct()
-    side, _ = small(cut(dirty))
-    return docs.join(side, docs[id_col].eqNullSafe(side["__dirty"]), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:  # noqa: ANN003
+    """The rows of docs, all columns, whose text overlaps with no item of the benchmark.
+
+    Decided by texts, whatever the ids: a row's key is the digest of its text, so equal texts share their fate and null
+    texts stay. options may name the text's column.
+    """
+    text = F.col(options.get("text_col", "text"))
+    dirty, _ = small(overlaps(docs.select(F.md5(text.cast("binary")).alias("__key"), text), benchmark, id_col="__key", **options).select(F.col("__key").alias("__dirty")).distinct())
+    return docs.join(dirty, F.md5(text.cast("binary")) == F.col("__dirty"), "left_anti")

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,18 +28,22 @@ from pyspark.sql import functions as F
 from .common import components, cut, small, splitmix, text_blocks
 
 BLOCK_BYTES = 800_000
+#: Texts beyond so many bytes are shingled in parts that overlap by a shingle less a word, so memory doesn't follow a text's length.
+PART_BYTES = 8_000_000
 #: Minima of a set that grouping looks at, and how many must agree with the leader.
 MINIMA, AGREE = 8, 2
-#: Documents of a block on either side of a comparison.
-SIDE = 256
-#: A block of documents reports the tokens that so many different sets of it hold; the most frequent tokens of all reports are known to every task.
-REPORT, FREQUENT = 2, 1 << 18
+#: Documents, and shingles, of a block on either side of a comparison (one document at least).
+SIDE, SIDE_SHINGLES = 256, 400_000
+#: A block of documents reports the tokens that so many different sets of it hold. Reports are summed by hash class;
+#: every task knows the classes' sums as bytes, so what it knows is of one size whatever the input.
+REPORT, CLASS_BITS = 2, 20
 
 _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(1, 2**63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(1, 2**63, 1024, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MINIMUM = _rng.integers(1, 2**63, MINIMA, np.int64).astype(np.uint64)
 _BYTE[[9, 10, 11, 12, 13, 32]] = 0
+_SPACE, _WORD = re.compile("[\t-\r ]"), re.compile("[^\t-\r ]+")
 
 
 def shingles(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,8 +86,30 @@ def shingles(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Each text's sorted set of shingle hashes."""
-    h, at = shingles(texts, k)
-    return [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    long = {i: t for i, t in enumerate(texts) if t is not None and len(t) > PART_BYTES // 4 and len(t.encode("utf-8", "surrogatepass")) > PART_BYTES}
+    h, at = shingles([None if i in long else t for i, t in enumerate(texts)], k)
+    out = [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    for i, t in long.items():
+        out[i] = _long_set(t, k)
+    return out
+
+
+def _long_set(text: str, k: int) -> np.ndarray:
+    """The set of a long text, shingled in parts of at least k words each, the last k - 1 words of one being the first of the next."""
+    found, tail, at = np.zeros(0, np.uint64), "", 0
+    while at < len(text):
+        gap = _SPACE.search(text, at + PART_BYTES // 4)
+        end = gap.start() if gap else len(text)
+        part = f"{tail} {text[at:end]}"
+        words = _WORD.findall(part)
+        at = end
+        if len(words) >= k or at >= len(text):
+            if len(words) >= k or not len(found):  # else all its words were in the part before
+                h, _ = shingles([part], k)
+                found = np.union1d(found, h)
+            words = words[len(words) - k + 1 :] if k > 1 else []
+        tail = " ".join(words)
+    return found
 
 
 def need(n: int, percent: int) -> int:
@@ -126,14 +153,41 @@ def _counts(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[lead], np.diff(np.concatenate((lead, [len(ordered)])))
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _class_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, count) of a task's reports, each class once for each block of reports."""
     for b in batches:
         for t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["token", "c"])
+            of, at = np.unique(_class_of(np.frombuffer(t, np.uint64)), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), pa.array(np.bincount(at, weights=np.frombuffer(c, np.int64)).astype(np.int64))], names=["of", "c"])
+
 
+def _pack(group: pa.Table) -> pa.Table:
+    """256th part of all classes as one row of bytes: log2 of each class's sum."""
+    of, c = group.column("of").to_numpy(), group.column("c").to_numpy()
+    out = np.zeros(1 << (CLASS_BITS - 8), np.uint8)
+    out[of & (len(out) - 1)] = np.log2(np.maximum(c, 1)).astype(np.uint8)
+    return pa.table({"part": pa.array([int(of[0]) >> (CLASS_BITS - 8)], pa.int32()), "levels": pa.array([out.tobytes()], pa.binary())})
 
-def _prefixes(k: int, percent: int, tokens: np.ndarray, levels: np.ndarray):  # noqa: ANN202
-    """Rows (token, q, n, rest, g, gs) of the prefix tokens of each document; rest: tokens that come later in its order."""
+
+def token_levels(raw: DataFrame) -> np.ndarray:
+    """How often the tokens of each hash class occur, as far as blocks report it: log2 by class, 2 ** CLASS_BITS bytes at any size of the input."""
+    sums = raw.where("length(tokens) > 0").select("tokens", "counts").mapInArrow(_sums, "of int, c long").groupBy("of").agg(F.sum("c").alias("c"))
+    parts = sums.groupBy(F.shiftright("of", CLASS_BITS - 8).alias("part")).applyInArrow(_pack, "part int, levels binary").collect()  # 256 rows at most
+    out = np.zeros(1 << CLASS_BITS, np.uint8)
+    for r in parts:
+        out[r["part"] << (CLASS_BITS - 8) : (r["part"] + 1) << (CLASS_BITS - 8)] = np.frombuffer(r["levels"], np.uint8)
+    return out
+
+
+def _prefixes(k: int, percent: int, levels: np.ndarray):  # noqa: ANN202
+    """Rows (token, q, n, rest, g, gs) of the prefix tokens of each document; rest: tokens that come later in its order.
+
+    The order is by the level of a token's class, then by token: the same for all documents, so any levels are exact.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,10 +197,7 @@ def _prefixes(k: int, percent: int, tokens: np.ndarray, levels: np.ndarray):  #
                 for s in sets(texts, k):
                     n = len(s)
                     p = min(n, n - need(n, percent) + slack(n))
-                    if len(tokens):
-                        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                        s = s[np.argsort(np.where(tokens[at] == s, levels[at], 0), kind="stable")]
-                    out.append(s[:p])
+                    out.append(s[np.argsort(levels[_class_of(s)], kind="stable")][:p])
                     times.append(len(out[-1]))
                     sizes.append(n)
                 rep = lambda x: np.repeat(x, times)  # noqa: B023, E731
@@ -266,6 +317,29 @@ def _open(k: int, percent: int):  # noqa: ANN202
     return run
 
 
+def _blocks(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, nb): into how many blocks the documents of a group are cut, by their number and by their shingles."""
+    return rows.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / SIDE), F.ceil(F.sum("n") / SIDE_SHINGLES)).cast("int").alias("nb"))
+
+
+def _links(tasks: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b), a spanning set of each block, for tasks (g, level, b, s, id, asks); each block brings its texts once."""
+    side, fits = small(tasks.withColumnRenamed("id", "__id"))
+    if not fits:
+        ids, _ = small(side.select(F.col("__id").alias("__t")).distinct())
+        texts = texts.join(ids, F.col("id") == F.col("__t"), "left_semi")
+    rows = texts.join(side, F.col("id") == F.col("__id")).select("g", "level", "b", "s", "id", "asks", "text")
+    return rows.groupBy("g", "level", "b", "s").applyInArrow(_open(k, percent), "a long, b long").where("a <> b").distinct()
+
+
+def open_leaders(candidates: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between candidates (q, n, g) and the leaders g of their groups; a group's candidates are cut into blocks."""
+    blocks, _ = small(_blocks(candidates, "g").withColumnRenamed("g", "__g"))
+    ask = candidates.join(blocks, F.col("g") == F.col("__g")).select("g", F.pmod(F.xxhash64("q"), F.col("nb")).cast("int").alias("s"), F.col("q").alias("id"), F.lit(True).alias("asks"))
+    lead = blocks.select(F.col("__g").alias("g"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("s"), F.col("__g").alias("id"), F.lit(False).alias("asks"))
+    return _links(ask.union(lead).select("g", F.lit(0).alias("level"), F.lit(0).alias("b"), "s", "id", "asks"), texts, k, percent)
+
+
 def open_groups(candidates: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b), a spanning set of each block, between candidates (q, n, g) and members (g, m, n).
 
@@ -274,19 +348,13 @@ def open_groups(candidates: DataFrame, members: DataFrame, texts: DataFrame, k:
     """
     base = -math.log(percent / 100 - 0.001)
     level = F.floor(F.log(F.col("n").cast("double")) / base).cast("int")
-    asked = candidates.groupBy("g").agg(F.count("*").alias("c")).select(F.col("g").alias("__g"), F.ceil(F.col("c") / SIDE).cast("int").alias("nq"))
-    mine = members.join(asked, F.col("g") == F.col("__g")).select("g", "m", level.alias("level"), "nq")
-    per = mine.groupBy("g", "level").agg(F.count("*").alias("c")).select("g", "level", F.ceil(F.col("c") / SIDE).cast("int").alias("nb"))
+    asked, _ = small(_blocks(candidates, "g").select(F.col("g").alias("__g"), F.col("nb").alias("nq")))
+    mine = members.join(asked, F.col("g") == F.col("__g")).select("g", "m", "n", level.alias("level"), "nq")
+    per, _ = small(_blocks(mine, "g", "level"))
     mine = mine.join(per, ["g", "level"]).select("g", "level", F.pmod(F.xxhash64("m"), F.col("nb")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("s"), F.col("m").alias("id"), F.lit(False).alias("asks"))
     ask = candidates.join(asked, F.col("g") == F.col("__g")).select("g", "q", F.explode(F.array(level - 1, level, level + 1)).alias("level"), F.pmod(F.xxhash64("q"), F.col("nq")).cast("int").alias("s"))
     ask = ask.join(per, ["g", "level"]).select("g", "level", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), "s", F.col("q").alias("id"), F.lit(True).alias("asks"))
-    both = cut(mine.join(ask.select("g", "level", "b", "s").distinct(), ["g", "level", "b", "s"], "left_semi").union(ask))
-    tasks, fits = small(both.withColumnRenamed("id", "__id"))
-    if not fits:
-        ids, _ = small(cut(both.select(F.col("id").alias("__t")).distinct()))
-        texts = texts.join(ids, F.col("id") == F.col("__t"), "left_semi")
-    rows = texts.join(tasks, F.col("id") == F.col("__id")).select("g", "level", "b", "s", "id", "asks", "text")
-    return cut(rows.groupBy("g", "level", "b", "s").applyInArrow(_open(k, percent), "a long, b long").where("a <> b").distinct())
+    return _links(mine.join(ask.select("g", "level", "b", "s").distinct(), ["g", "level", "b", "s"], "left_semi").union(ask), texts, k, percent)
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,26 +381,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     keyed = large.select("rep", "n", F.posexplode("keys").alias("j", "key"))
     leaders = keyed.groupBy("j", "key").agg(F.min("rep").alias("g"), F.count("*").alias("c")).where("c > 1").select("j", "key", "g")
     near = keyed.join(leaders, ["j", "key"]).where("rep <> g").groupBy("rep", "n", "g").count().where(F.col("count") >= AGREE).select(F.col("rep").alias("q"), "n", "g")
-    near = cut(near)
     sizes = large.groupBy("rep").agg(F.max("n").alias("n"))
-    lead = near.select("g").distinct().join(sizes, F.col("g") == F.col("rep")).select("g", F.col("g").alias("m"), "n")
-    first = open_groups(near, cut(lead), texts, k, percent)
-    grouped = cut(components(first))
-    nodes = sizes.join(grouped, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("m"), "n", F.coalesce("component", "rep").alias("g"))
-    nodes = cut(nodes)
+    grouped = components(open_leaders(cut(near), texts, k, percent))
+    nodes = cut(sizes.join(grouped, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("m"), "n", F.coalesce("component", "rep").alias("g")))
     counts = nodes.groupBy("g").agg(F.count("*").alias("gs")).select(F.col("g").alias("__g"), "gs")
-    placed = cut(nodes.join(counts, F.col("g") == F.col("__g")).select(F.col("m").alias("__m"), "g", "gs"))
-
-    # the order of tokens: how often they occur, as far as blocks report it; any order is exact
-    often = raw.where("length(tokens) > 0").select("tokens", "counts").mapInArrow(_unpack, "token long, c long")
-    often = often.groupBy("token").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()  # FREQUENT rows
-    token = often["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(token)
-    token, levels = token[order], np.log2(np.maximum(often["c"].to_numpy(np.int64), 1)).astype(np.int8)[order]
+    side, _ = small(nodes.join(counts, F.col("g") == F.col("__g")).select(F.col("m").alias("__m"), "g", "gs"))
+    levels = token_levels(raw)
 
     # the matrix, and what qualifies
-    side, _ = small(placed)
-    prefixes = texts.join(side, F.col("id") == F.col("__m")).select("id", "text", "g", "gs").mapInArrow(_prefixes(k, percent, token, levels), "token long, q long, n int, rest int, g long, gs long")
+    prefixes = texts.join(side, F.col("id") == F.col("__m")).select("id", "text", "g", "gs").mapInArrow(_prefixes(k, percent, levels), "token long, q long, n int, rest int, g long, gs long")
     hits = prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_matrix(percent), "q long, n long, g long")
     least_n = F.floor((F.col("n") * percent + 99) / 100)
     found = hits.groupBy("q", "n", "g").count().where(F.col("count") >= F.floor(least_n / 25) + 1).select("q", "n", "g")

@@ -16,6 +16,8 @@ from .common import WORDS, text_blocks, texts_of
 
 #: Labelled documents that the model is fitted on at most, for each label: those with the smallest hash of their id.
 TRAIN_DOCS = 2500
+#: Distinct words of a document that the fit takes at most, and of all of them together, so that the one task that fits holds no more.
+TRAIN_WORDS, TRAIN_TOTAL = 50_000, 2_000_000
 #: A word is a feature if it is in so many fitted documents of a label and its log odds ratio is so many standard errors from 0.
 LEAST_DOCS, LEAST_Z = 5, 4.0
 #: Besides the word itself its beginnings of these lengths are features, so that inflected forms share a weight.
@@ -142,7 +144,9 @@ def copy_keys(words: list[str]) -> tuple[int, ...]:
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, grades: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Ordinal:
     """A model fitted on at most 2 x `most` labelled documents: of each label those with the smallest hash of their id.
 
-    Null labels and ids are left out; of repeated labels of one id the largest holds.
+    Words are counted where the documents are and go to one task that fits; the driver gets the weights alone.
+    Documents of more than TRAIN_WORDS distinct words are left out of the fit. Null labels and ids are left out; of
+    repeated labels of one id the largest holds.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col)).cast("int").alias("__y"))
     rank = (F.xxhash64("__id"), "__id")
@@ -151,17 +155,33 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, grades: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [WORDS.findall(t.lower()) for t in texts_of(b.column(1))]
-            bags = [Counter(w) for w in words]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([copy_keys(w) for w in words], pa.list_(pa.int64())), pa.array([" ".join(x) for x in bags], pa.string()), pa.array([np.array([*x.values()], np.uint32).tobytes() for x in bags], pa.binary())], names=["y", "keys", "words", "counts"])
+            rows = [(y, rank, copy_keys(w), " ".join(x), np.array([*x.values()], np.uint32).tobytes()) for y, rank, w, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), words, map(Counter, words), strict=True) if len(x) <= TRAIN_WORDS]
+            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, kinds, strict=True)], names=["y", "rank", "keys", "words", "counts"])
 
-    found = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
-    rows = found.select("__y", "__text").mapInArrow(run, "y int, keys array<long>, words string, counts binary").collect()  # 2 x most rows
-    rows.sort(key=lambda r: (r.y, r.words, r.counts))
-    n = {r[0]: r[1] for r in known.groupBy(F.col("__y") > 0).count().collect()}  # two rows
-    here = sum(r.y > 0 for r in rows)
-    shift = float(np.log(here / (len(rows) - here) * n[False] / n[True])) if 0 < here < len(rows) else 0.0
-    bags = [dict(zip(r.words.split(" ") if r.words else [], np.frombuffer(r.counts, np.uint32).tolist(), strict=True)) for r in rows]
-    return fit(bags, [max(0, r.y) for r in rows], grades, [tuple(r["keys"]) for r in rows], shift)
+    n_of = {r[0]: r[1] for r in known.groupBy(F.col("__y") > 0).count().collect()}  # two rows
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in the order of rank."""
+        rows, total = [], 0
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if len(rows) < 2 * most and total + len(r[4]) // 4 <= TRAIN_TOTAL:
+                    rows.append(r)
+                    total += len(r[4]) // 4
+        rows.sort(key=lambda r: (r[0], r[3], r[4]))
+        here = sum(r[0] > 0 for r in rows)
+        shift = float(np.log(here / (len(rows) - here) * n_of[False] / n_of[True])) if 0 < here < len(rows) else 0.0
+        bags = [dict(zip(r[3].split(" ") if r[3] else [], np.frombuffer(r[4], np.uint32).tolist(), strict=True)) for r in rows]
+        model = fit(bags, [max(0, r[0]) for r in rows], grades, [tuple(r[2]) for r in rows], shift)
+        yield pa.RecordBatch.from_arrays([pa.array([[*model.weights]], pa.list_(pa.string())), pa.array([[*model.weights.values()]], pa.list_(pa.float64())), pa.array([list(model.thresholds)], pa.list_(pa.float64()))], names=["words", "weights", "thresholds"])
+
+    found = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))  # 2 x most rows
+    rows = found.select("__y", "__text", F.xxhash64("__id").alias("__rank")).mapInArrow(run, "y int, rank long, keys array<long>, words string, counts binary")
+    got = rows.repartition(1).sortWithinPartitions("rank", "y", "words", "counts").mapInArrow(one, "words array<string>, weights array<double>, thresholds array<double>").collect()  # one row
+    if not got:
+        return fit([], [], grades)
+    return Ordinal(dict(zip(got[0]["words"], got[0]["weights"], strict=True)), tuple(got[0]["thresholds"]))
 
 
 def toxicity(docs: DataFrame, model: Ordinal, threshold: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,3 +199,15 @@ def toxicity(docs: DataFrame, model: Ordinal, threshold: float = 0.2, id_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(above.sum(1)), pa.array(each.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= threshold)], names=[id_col, "severity", "grade", "toxic"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, severity double, grade int, toxic boolean")
+
+
+def keep_clean(docs: DataFrame, model: Ordinal, threshold: float = 0.2, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with P(grade > 0) below the threshold: one pass, decided row by row whatever the ids."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            above = model.above(np.array([model.total(t or "") for _, _, texts in text_blocks(b.column(at), BLOCK_BYTES) for t in texts]))
+            yield b.filter(pa.array(above[:, 0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -226,9 +226,18 @@ def test_pipeline_stages_with_odd_rows(spark, docs, odd):
             assert stage(spark, docs(rows), SF).count() <= (len(rows) if name != "packing" else 10**6), name
 
 
-def test_quality_stage_drops_what_the_classifier_rejects(spark, docs, monkeypatch):
-    scores = spark.createDataFrame([(1, 0.4, 0), (2, 0.6, 0), (3, 0.8, 1)], "doc_id long, score double, predicted int")
-    monkeypatch.setattr(corpus_pipeline.crf_quality, "train", lambda *_: None)
-    monkeypatch.setattr(corpus_pipeline.crf_quality, "quality", lambda *_: scores)
-    kept = corpus_pipeline.quality_stage(spark, docs([(i, f"text {i}") for i in (1, 2, 3)]), SF)
-    assert [r.doc_id for r in kept.collect()] == [3]
+def test_quality_stage_drops_what_the_classifier_rejects(spark, docs):
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    model = corpus_pipeline.crf_quality.train(base, spark.read.parquet(f"{SF}/labels.parquet"))
+    want = corpus_pipeline.crf_quality.quality(base, model).where("predicted = 1")
+    assert sorted(r.doc_id for r in corpus_pipeline.quality_stage(spark, base, SF).collect()) == sorted(r.doc_id for r in want.collect())
+
+
+def test_stages_decide_by_row(spark, docs):
+    """Null and repeated ids: a bad row takes no other with it, and of exact repeats one stays."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(None, item), (None, "clean one two three four five"), (7, item), (7, "other six seven eight nine ten"), (8, "p q r s t u v"), (8, "p q r s t u v"), (None, "P q r s t u v")]
+    left = corpus_pipeline.decontamination_stage(spark, docs(rows), SF)
+    assert sorted(str(r.doc_id) + r.text[:5] for r in left.collect()) == ["7other", "8p q r", "8p q r", "NoneP q r", "Noneclean"]
+    once = corpus_pipeline.near_duplicate_stage(spark, docs(rows), SF)
+    assert sorted(str(r.doc_id) + r.text[:5] for r in once.collect()) == sorted(["7" + item[:5], "7other", "8p q r", "Noneclean"])

@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences: quality, toxicity, near duplicates, benchmark passages, packing."""
+"""From raw documents to packed sequences: quality, toxicity, near duplicates, benchmark passages, packing.
+
+Every stage decides row by row, so null and repeated ids are documents like any other; null texts count as empty. An
+empty table passes through all stages; columns beyond those of documents are kept by all but the last.
+"""
 
 from __future__ import annotations
 
@@ -14,28 +18,28 @@ from lexmill.llm.common import cut, ensure_checkpoint_dir, small, table
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def drop_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs, all columns, without the rows whose doc_id is in the one column of gone. Null ids stay."""
-    side, _ = small(cut(gone.toDF("__gone").where("__gone is not null").distinct()))
-    return docs.join(side, docs["doc_id"] == side["__gone"], "left_anti")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier doesn't reject; it learns from the labelled documents outside the held-out fold."""
-    model = crf_quality.train(docs, table(spark, sf_dir, "labels"))
-    return drop_ids(docs, crf_quality.quality(docs, model).where("predicted = 0").select("doc_id"))
+    return crf_quality.keep_good(docs, crf_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose chance of any toxic grade is below the operator's threshold."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return drop_ids(docs, toxicity.toxicity(docs, model).where("toxic").select("doc_id"))
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates. Texts without words are no duplicates."""
-    groups = jaccard_join.jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT)
-    return drop_ids(docs, groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    """One document of each group of near duplicates: that with the smallest id, null ids last, and of equal ids the first row.
+
+    Every row is a document of its own, whatever its id. Texts without words are no duplicates.
+    """
+    keyed = cut(docs.withColumn("__row", F.monotonically_increasing_id()))  # numbered once, so that all scans agree
+    groups = jaccard_join.jaccard_components(keyed, NEAR_WORDS, NEAR_PERCENT, id_col="__row")
+    several = groups.join(keyed.select(F.col("__row").alias("__r"), "doc_id"), F.col("__row") == F.col("__r"))
+    first = several.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("f"), F.count("*").alias("n"))
+    first = first.where("n > 1").select(F.col("component_id").alias("__c"), F.col("f.__row").alias("__first"))
+    gone, _ = small(groups.join(first, F.col("component_id") == F.col("__c")).where("__row <> __first").select(F.col("__row").alias("__gone")))
+    return keyed.join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

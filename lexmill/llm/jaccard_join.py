@@ -1,8 +1,9 @@
 """Exact Jaccard join of word shingles by a token-group matrix.
 
 1. Equal shingle sets become one class, represented by its smallest id.
-2. Classes that agree on several minima of hashed shingles are checked against one leader of theirs; what links is a
-   group. Groups so hold similar documents, and need no pairs within.
+2. Classes that agree on several minima of hashed shingles are checked against a few leaders of theirs; what links is a
+   group. Groups so hold similar documents, and need no pairs within. The leaders are those first in several orders of
+   the ids, since one of them may be too far from the others.
 3. The matrix: the tokens that the members of each group have in their prefixes, united by group. Prefixes follow one
    global order, rare tokens first, and are longer than the least by n // 25 tokens, so that a pair that links has at
    least that many of them in common, early enough in both orders to leave room for the rest of the overlap. A
@@ -32,6 +33,8 @@ BLOCK_BYTES = 800_000
 PART_BYTES = 8_000_000
 #: Minima of a set that grouping looks at, and how many must agree with the leader.
 MINIMA, AGREE = 8, 2
+#: Each order of ids is by an id's bits after exclusive or with one of these; its first is a leader.
+LEADERS = (0, 0x2AAAAAAAAAAAAAAA, 0x1999666699996666, 0x0F1E2D3C4B5A6978)
 #: Documents, and shingles, of a block on either side of a comparison (one document at least).
 SIDE, SIDE_SHINGLES = 256, 400_000
 #: A block of documents reports the tokens that so many different sets of it hold. Reports are summed by hash class;
@@ -379,8 +382,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
 
     # groups
     keyed = large.select("rep", "n", F.posexplode("keys").alias("j", "key"))
-    leaders = keyed.groupBy("j", "key").agg(F.min("rep").alias("g"), F.count("*").alias("c")).where("c > 1").select("j", "key", "g")
-    near = keyed.join(leaders, ["j", "key"]).where("rep <> g").groupBy("rep", "n", "g").count().where(F.col("count") >= AGREE).select(F.col("rep").alias("q"), "n", "g")
+    mixed = [(F.min(F.col("rep").bitwiseXOR(F.lit(m)))).bitwiseXOR(F.lit(m)) for m in LEADERS]
+    leaders = keyed.groupBy("j", "key").agg(F.array_distinct(F.array(*mixed)).alias("gs"), F.count("*").alias("c")).where("c > 1").select("j", "key", "gs")
+    near = keyed.join(leaders, ["j", "key"]).select("rep", "n", F.explode("gs").alias("g")).where("rep <> g").groupBy("rep", "n", "g").count().where(F.col("count") >= AGREE).select(F.col("rep").alias("q"), "n", "g")
     sizes = large.groupBy("rep").agg(F.max("n").alias("n"))
     grouped = components(open_leaders(cut(near), texts, k, percent))
     nodes = cut(sizes.join(grouped, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("m"), "n", F.coalesce("component", "rep").alias("g")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,63 +27,118 @@ def encode_block(texts: list[str], name: str, end_id: int) -> list[bytes]:
     return [(np.asarray(enc.whole(t), "<u4").tobytes() if c is None else b"".join(map(get, c))) + end for t, c in zip(texts, cut, strict=True)]
 
 
-def cuts(total: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: whole capacities, then one piece for each reciprocal class its rest holds.
-
-    >>> cuts(5, 2)
-    [(0, 2), (2, 2), (4, 1)]
-    """
-    out = [(i * capacity, capacity) for i in range(total // capacity)]
-    at, size = total // capacity * capacity, capacity // 2
-    while at < total:
-        if total - at >= size:
-            out.append((at, size))
-            at += size
-        else:
-            size //= 2
-    return out
+#: Classes of a worker: 1 / (k + 1) to 1 / k of the capacity for k below CLASSES; all shorter pieces are one class more.
+CLASSES = 24
+#: Closed bins of a worker that wait with a gap for a further document; the longest gap goes first when there are more.
+WAITING = 64
 
 
 class Harmonic:
-    """The open bins of one worker. Class s takes pieces of exactly s tokens, capacity / s of them to a bin.
-
-    What is open holds fewer than 2 x capacity rows in all. At the end an open bin of m pieces becomes a sequence for
-    each binary digit of m, so every sequence is full or its length is a power of two: nothing is padded.
+    """The bins of one worker.
+
+    A document over the capacity gives whole sequences first; what is left is one piece. A piece that fits into the gap
+    of a closed bin goes there whole (the smallest such gap). Else it joins the bin of its class, which closes at k
+    pieces; a bin of the last class closes before the first piece that does not fit. A closed bin that is not full
+    waits for further documents, and if too many wait the head of the next document is cut off for the longest gap. So
+    a document is cut at capacities and at most once more, except for the few pieces that are open at the end: those
+    fill the gaps that are left, one after the other. What then remains becomes sequences whose lengths are powers of
+    two. Nothing is padded, and what a worker holds is at most CLASSES + WAITING bins.
     """
 
     def __init__(self, capacity: int, worker: int) -> None:
-        if capacity < 1 or capacity & (capacity - 1):
-            raise ValueError("the capacity must be a power of two")
+        if capacity < 1:
+            raise ValueError("the capacity must be positive")
         self.capacity, self.next = capacity, worker << 40
         self.open: dict[int, list[tuple]] = {}
+        self.gaps: list[tuple] = []  # (room, order, pieces), by room
+
+    def put(self, doc, coded: bytes) -> list[tuple]:  # noqa: ANN001
+        view, total, out, at = memoryview(coded), len(coded) // 4, [], 0
+        if len(self.gaps) >= WAITING:
+            room, order, mine = self.gaps.pop()
+            at = min(room, total)
+            out += self._wait([*mine, (doc, 0, at, view[: 4 * at], total)], order)
+        while total - at >= self.capacity:
+            out += self._emit([(doc, at, self.capacity, view[4 * at : 4 * (at + self.capacity)], total)])
+            at += self.capacity
+        n = total - at
+        return out + self._place((doc, at, n, bytes(view[4 * at :]), total)) if n else out
+
+    def _place(self, piece: tuple) -> list[tuple]:
+        n = piece[2]
+        if (i := bisect_left(self.gaps, (n,))) < len(self.gaps):
+            _, order, mine = self.gaps.pop(i)
+            return self._wait([*mine, piece], order)
+        k, out = min(self.capacity // n, CLASSES), []
+        mine = self.open.setdefault(k, [])
+        if k == CLASSES and sum(p[2] for p in mine) + n > self.capacity:
+            out, mine = self._wait(mine), []
+        mine.append(piece)
+        self.open[k] = mine
+        if k < CLASSES and len(mine) == k or sum(p[2] for p in mine) == self.capacity:
+            out += self._wait(self.open.pop(k))
+        return out
 
-    def put(self, row: tuple) -> list[tuple]:
-        size = row[2]
-        mine = self.open.setdefault(size, [])
-        mine.append(row)
-        return self._close(size, len(mine)) if len(mine) * size == self.capacity else []
-
-    def _close(self, size: int, n: int) -> list[tuple]:
-        mine = self.open[size]
-        out = [(*r, self.next, i * size) for i, r in enumerate(mine[:n])]
-        del mine[:n]
+    def _wait(self, mine: list[tuple], order: int | None = None) -> list[tuple]:
+        """A closed bin: a sequence if it is full, else one more gap."""
+        mine = [(*p[:3], bytes(p[3]), p[4]) for p in mine]
+        room = self.capacity - sum(p[2] for p in mine)
+        if not room:
+            return self._emit(mine)
+        if order is None:
+            order, self.next = self.next, self.next + 1
+        insort(self.gaps, (room, order, mine))
+        return []
+
+    def _emit(self, mine: list[tuple]) -> list[tuple]:
+        out, offset = [], 0
+        for doc, start, n, ids, total in mine:
+            out.append((doc, start, n, zlib.crc32(ids), total, self.next, offset))
+            offset += n
         self.next += 1
         return out
 
     def rest(self) -> list[tuple]:
-        out = []
-        for size in sorted(self.open, reverse=True):
-            while m := len(self.open[size]):
-                out += self._close(size, 1 << (m.bit_length() - 1))
+        """Sequences of all that is open: the fullest bins are filled up from open pieces, then from the emptiest bins."""
+        loose = [p for k in sorted(self.open) for p in self.open[k]][::-1]
+        out, self.open = [], {}
+        while self.gaps:
+            room, _, mine = self.gaps.pop(0)
+            while room and (loose or self.gaps):
+                if not loose:
+                    loose = self.gaps.pop()[2][::-1]
+                mine.append(self._head(loose, room))
+                room -= mine[-1][2]
+            if room:
+                loose = mine[::-1]
+            else:
+                out += self._emit(mine)
+        left = sum(p[2] for p in loose)
+        while left:
+            size = room = min(self.capacity, 1 << (left.bit_length() - 1)) if left < self.capacity else self.capacity
+            mine = []
+            while room:
+                mine.append(self._head(loose, room))
+                room -= mine[-1][2]
+            out += self._emit(mine)
+            left -= size
         return out
 
+    @staticmethod
+    def _head(loose: list[tuple], room: int) -> tuple:
+        """The next open piece, or if it is longer than room its head; the other part stays."""
+        doc, start, n, ids, total = loose.pop()
+        if n > room:
+            loose.append((doc, start + room, n - room, ids[4 * room :], total))
+        return (doc, start, min(n, room), ids[: 4 * min(n, room)], total)
+
 
 def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.json", end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Each document's ids are cut into pieces of reciprocal-capacity lengths (capacity, 1/2, 1/4 ... of it), and each
-    worker fills bins of one class with its fixed number of pieces, independently of all other workers: one pass, no
-    shuffle. Null text is empty and so one end id; null and repeated ids give each row its own pieces; other columns
+    Each worker fills bins of one reciprocal class of the capacity with its fixed number of documents, independently of
+    all other workers: one pass, no shuffle. Documents stay whole where they can; see Harmonic for those that are cut,
+    so that no sequence is padded. Null text is empty and so one end id; null and repeated ids give each row its own pieces; other columns
     are left out; an empty table gives no rows; texts of any length are whole. sequence_id is the task's number and a
     counter, so a task that runs again gives the same.
     """
@@ -99,11 +155,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.j
         for b in batches:
             like, ids = b.schema.field(0).type, b.column(0).to_pylist()
             for i, j, texts in text_blocks(b.column(1), BLOCK_BYTES):
-                rows: list[tuple] = []
-                for doc, coded in zip(ids[i:j], encode_block([t or "" for t in texts], tokenizer, end_id), strict=True):
-                    view, total = memoryview(coded), len(coded) // 4
-                    for start, n in cuts(total, capacity):
-                        rows += bins.put((doc, start, n, zlib.crc32(view[4 * start : 4 * (start + n)]), total))
+                rows = [r for doc, coded in zip(ids[i:j], encode_block([t or "" for t in texts], tokenizer, end_id), strict=True) for r in bins.put(doc, coded)]
                 if rows:
                     yield out(rows, like)
         if like is not None and (rows := bins.rest()):

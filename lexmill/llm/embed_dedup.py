@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, splitmix
+from .common import components, cut, cut_and, splitmix
 
-#: Tables, projections of a table, width of a quantum in units of the normalised vectors.
-TABLES, PROJECTIONS, WIDTH = 64, 14, 2.0
+#: Width of a quantum in units of the normalised vectors; chance that a pair at the least cosine shares a table, at least;
+#: random pairs of a vector over all tables, at most. Projections and tables follow from these and the counted vectors.
+WIDTH, RECALL, RANDOM_PAIRS = 2.0, 0.97, 32.0
 #: Rows of a bucket that are compared in one block of the cosine check.
 BLOCK = 1024
 #: Rows of a bucket that are held for the cheap test; all rows of larger buckets pass it.
@@ -23,10 +25,30 @@ SIGNS = 40
 _GRID, _STEP = 2.0**20, 2.0**12
 
 
+def same_quantum(distance: float, width: float) -> float:
+    """Chance that two points so far apart have one quantum of a random projection."""
+    c = width / distance
+    return math.erf(c / math.sqrt(2)) - math.sqrt(2 / math.pi) / c * (1 - math.exp(-c * c / 2))
+
+
+def plan(n: int, least: float, width: float = WIDTH, recall: float = RECALL, most: float = RANDOM_PAIRS) -> tuple[int, int]:
+    """(tables, projections) for n vectors: as few projections as keep random pairs (cosine 0) of a vector below `most`.
+
+    A pair at the least cosine shares a table of k projections with chance p ** k, so log(1 - recall) / log(1 - p ** k)
+    tables find it. Tables grow as about n ** 0.27, and the pairs that buckets hold in proportion to n.
+    """
+    near, far = same_quantum(math.sqrt(max(2 - 2 * least, 1e-9)), width), same_quantum(math.sqrt(2), width)
+    for k in range(1, 200):
+        tables = math.ceil(math.log(1 - recall) / math.log1p(-(near**k)))
+        if n * tables * far**k <= most:
+            break
+    return tables, k
+
+
 class Hasher:
     """floor((a . v + b) / w) of fixed projections. Vectors and projections are on a grid, so sums are exact and do not depend on the batch."""
 
-    def __init__(self, dim: int, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, seed: int = 11) -> None:
+    def __init__(self, dim: int, tables: int, projections: int, width: float = WIDTH, seed: int = 11) -> None:
         rng = np.random.default_rng([seed, dim, tables, projections])
         self.tables, self.projections = tables, projections
         self.a = np.round(rng.standard_normal((dim, tables * projections)) * _STEP)
@@ -35,11 +57,12 @@ class Hasher:
         self.s = np.round(rng.standard_normal((dim, 128)) * _STEP)
         self.odd = rng.integers(1, 2**63, projections, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def keys(self, unit: np.ndarray) -> np.ndarray:
-        """A 64-bit bucket key for each vector and table."""
-        q = np.floor((np.round(unit * _GRID) @ self.a + self.b) / self.w).astype(np.int64).astype(np.uint64)
-        q = q.reshape(len(unit), self.tables, self.projections)
-        return splitmix((q * self.odd).sum(2, dtype=np.uint64) + np.arange(self.tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    def keys(self, unit: np.ndarray, first: int | None = None) -> np.ndarray:
+        """A 64-bit bucket key for each vector and table, or for the first tables alone."""
+        n = self.tables if first is None else first
+        q = np.floor((np.round(unit * _GRID) @ self.a[:, : n * self.projections] + self.b[: n * self.projections]) / self.w).astype(np.int64).astype(np.uint64)
+        q = q.reshape(len(unit), n, self.projections)
+        return splitmix((q * self.odd).sum(2, dtype=np.uint64) + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
     def signs(self, unit: np.ndarray) -> np.ndarray:
         bits = np.packbits(np.round(unit * _GRID) @ self.s > 0, axis=1)
@@ -66,7 +89,10 @@ def _marked(key: np.ndarray, sign: np.ndarray) -> np.ndarray:
     """Rows, sorted by key, that have another row of their key within SIGNS differing signs. Looks at pairs one shift at a time."""
     mark = np.zeros(len(key), bool)
     at, shift = np.arange(len(key) - 1), 1
+    run = np.cumsum(np.concatenate(([False], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     while len(at):
+        if shift & (shift - 1) == 0 and shift > 1:  # rows of runs that are marked throughout are done
+            at = at[np.bincount(run, weights=~mark)[run[at]] > 0]
         at = at[at + shift < len(key)]
         at = at[key[at] == key[at + shift]]
         open_ = ~(mark[at] & mark[at + shift])
@@ -77,11 +103,11 @@ def _marked(key: np.ndarray, sign: np.ndarray) -> np.ndarray:
     return mark
 
 
-def vector_links(vectors: DataFrame, least: float = 0.9, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def vector_links(vectors: DataFrame, least: float = 0.9, tables: int | None = None, projections: int | None = None, width: float = WIDTH, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Equal vectors are first taken together as one class with a count. Class representatives are hashed into `tables`
-    tables; a cheap test of signs leaves the rows of a bucket that may have a partner there; buckets are cut into
+    tables of `projections` (by default those of plan() for the counted classes); a cheap test of signs leaves the rows of a bucket that may have a partner there; buckets are cut into
     blocks, and each pair of blocks checks its cosines in double precision. A pair counts in the first table that it
     shares, so it counts once; blocks return counts and a spanning set of links, never all pairs.
 
@@ -103,7 +129,9 @@ def vector_links(vectors: DataFrame, least: float = 0.9, tables: int = TABLES, p
 
     coded = rows.mapInArrow(encode, f"id {kind}, digest binary, raw binary")
     slim = cut(coded.select(F.col("id").cast("long").alias("id"), "digest"))
-    classes = cut(slim.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    classes, (n_classes,) = cut_and(slim.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    if tables is None or projections is None:
+        tables, projections = plan(n_classes, least, width)
     # one row of each class keeps its vector
     reps = coded.where("digest is not null").select("digest", F.col("id").cast("long").alias("__id"), "raw").join(classes.select(F.col("digest").alias("__d"), "rep", "n"), (F.col("digest") == F.col("__d")) & (F.col("__id") == F.col("rep")))
     reps = cut(reps.groupBy("digest").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.first("raw").alias("raw")))
@@ -159,19 +187,24 @@ def vector_links(vectors: DataFrame, least: float = 0.9, tables: int = TABLES, p
         own, rep, n = (group.column(c).to_numpy() for c in ("own", "rep", "n"))
         order = np.lexsort((rep, own))
         u, own, rep, n = unit_vectors([raws[k] for k in order]), own[order], rep[order], n[order]
-        keys = hasher(size // 8, tables, projections, width).keys(u)
         split = int((own == i).sum()) if i != j else 0
         left_, right = (slice(0, split), slice(split, None)) if i != j else (slice(None), slice(None))
-        cos = u[left_] @ u[right].T
-        a, b = np.nonzero(cos >= least)
+        near = u[left_] @ u[right].T >= least
         if i == j:
-            a, b = a[a < b], b[a < b]
-        else:
-            b = b + split
-        fresh = np.ones(len(a), bool)
-        for earlier in range(t):
-            fresh &= keys[a, earlier] != keys[b, earlier]
-        count = np.bincount(a[fresh], weights=n[b[fresh]], minlength=len(rep)) + np.bincount(b[fresh], weights=n[a[fresh]], minlength=len(rep))
+            near = np.triu(near, 1)
+        a, b = np.nonzero(near)
+        # of these, the pairs that no earlier table holds
+        rows, cols = np.unique(a), np.unique(b)
+        fresh = near[np.ix_(rows, cols)]
+        if t and len(rows):
+            h = hasher(size // 8, tables, projections, width)
+            one, two = np.ascontiguousarray(h.keys(u[left_][rows], t).T), np.ascontiguousarray(h.keys(u[right][cols], t).T)
+            for earlier in range(t):
+                fresh &= one[earlier][:, None] != two[earlier][None, :]
+        count = np.zeros(len(rep))
+        np.add.at(count, rows, fresh @ n[right][cols])
+        np.add.at(count, cols + split, fresh.T @ n[left_][rows])
+        b = b + split
         root = np.arange(len(rep))
         while len(a):  # smallest row reachable inside the block
             low = root.copy()

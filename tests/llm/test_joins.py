@@ -136,6 +136,26 @@ def test_embeddings(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("n", [500, 2000, 8000])
+def test_bucket_pairs_of_a_vector_do_not_grow(n):
+    """Random vectors: pairs a vector in all buckets stay at the stated bound, and the stated chance is that of the hash."""
+    tables, k = embed_dedup.plan(n, 0.9)
+    rng = np.random.default_rng(n)
+    v = rng.standard_normal((n, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    h = embed_dedup.Hasher(64, tables, k)
+    keys = np.sort(h.keys(v), axis=0)
+    pairs = 0
+    for column in keys.T:
+        size = np.diff(np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1], [True]))))
+        pairs += (size * (size - 1)).sum()
+    assert pairs / n <= 2 * embed_dedup.RANDOM_PAIRS
+    side = rng.standard_normal((n, 64))
+    side -= (side * v).sum(1)[:, None] * v
+    near = 0.9 * v + np.sqrt(1 - 0.81) * side / np.linalg.norm(side, axis=1)[:, None]
+    assert np.mean((h.keys(v) == h.keys(near)).any(1)) > 0.95
+
+
 def test_embedding_edges(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 0.0]), (8, [1.0, 0.0]), (9, [1.0, 0.01]), (10, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (7, [1.0, 0.0])]
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in embed_dedup.vector_links(vectors(spark, rows)).collect())

@@ -143,11 +143,26 @@ def test_sharding(docs, odd):
     assert {r.shard for r in sharding.shard(docs([(1, "a"), (2, None)]), 500).collect()} == {""}
 
 
+def test_pages_hold_the_limit(docs):
+    """One key with most rows, and a row over the limit: every page is within the limit or has one row."""
+    sizes = [(7, "w" * (i * 37 % 200)) for i in range(400)] + [(7, "x" * 5000), (None, "y" * 1500), (None, "z" * 900), (3, "a")]
+    got = sharding.shard(docs(sizes), 2000).collect()
+    assert len(got) == len(sizes)
+    pages = defaultdict(list)
+    for r in got:
+        pages[r.shard, r.page].append(r.n_bytes)
+    assert all(sum(v) <= 2000 or len(v) == 1 for v in pages.values())
+    assert len(pages) <= 2 * sum(len(t) for _, t in sizes) // 2000 + 4
+
+
 def test_shard_files(spark, docs, tmp_path):
     rows = [(i, "w" * 20) for i in range(60)]
     assigned = sharding.write_shards(docs(rows), str(tmp_path / "s"), 300)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 60 and sorted(r.doc_id for r in back.collect()) == [*range(60)]
+    odd_ids = [(1, "a"), (1, "b"), (None, "c"), (None, "c")]
+    sharding.write_shards(docs(odd_ids), str(tmp_path / "t"), 300)
+    assert sorted(str(r.doc_id) + r.text for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["1a", "1b", "Nonec", "Nonec"]
     assert assigned.select("shard").distinct().count() == back.select("shard").distinct().count() > 1
 
 

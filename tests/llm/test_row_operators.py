@@ -106,15 +106,26 @@ def test_packing_of_all(spark, library):
 
 
 def test_licenses(spark, docs, odd):
-    mit = dict(license_scan.KNOWN)["MIT"]
-    rows = [*odd, (20, "Copyright (c) 1999 Somebody\n\n" + mit.upper().replace("SUBLICENSE", "SUBLICENCE")), (21, mit + " and more"), (22, "released UNDER the  mit licence")]
+    mit = dict(license_scan.known_licenses()[::-1])["MIT"]
+    rows = [*odd, (23, "The MIT License (MIT)\nCopyright 2001-2004 A. Body\n\n" + mit), (24, "program program licence while catalog center"), (25, "programme programme license whilst catalogue centre"), (20, "Copyright (c) 1999 Somebody\n\n" + mit.upper().replace("SUBLICENSE", "SUBLICENCE")), (21, mit + " and more"), (22, "released UNDER the  mit licence")]
     got = license_scan.license_scan(docs(rows), license_scan.license_table(spark)).collect()
     assert len(got) == len(rows)
-    assert {r.doc_id: r.license_id for r in got if r.doc_id and r.doc_id >= 20} == {20: "MIT", 21: None, 22: "MIT-line"}
+    assert {r.doc_id: r.license_id for r in got if r.doc_id and r.doc_id >= 20} == {20: "MIT", 21: None, 22: "MIT-line", 23: "MIT", 24: None, 25: None}
+    assert len({r.digest for r in got if r.doc_id in (24, 25)}) == 1  # equivalent spellings next to one another
     assert all(r.license_id is None for r in got if r.doc_id is None or r.doc_id < 20)
     assert license_scan.license_scan(docs([]), license_scan.license_table(spark)).count() == 0
 
 
+def test_known_licenses(spark):
+    """Each known text is found by its own name, and no two licences share a digest."""
+    known = license_scan.known_licenses()
+    rows = [(i, "\ufeff" + text.replace("\n", "\r\n").upper()) for i, (_, text) in enumerate(known)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in license_scan.license_scan(df, license_scan.license_table(spark)).collect()}
+    assert [got[i] for i in range(len(known))] == [name for name, _ in known]
+    assert len({name for name, _ in known}) >= 25
+
+
 @pytest.mark.parametrize("name", ["op1_license_scans", "op6_sharding"])
 def test_sql(spark, name):
     con = duckdb.connect()

@@ -252,6 +252,49 @@ def test_html(spark, open_, close):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+TOOLS = '<html><body><div class="a1"><p>{3}</p></div><{0}><h1>Head {1}</h1><div class="tool{2}"><p>Read more on our site</p></div><p>Same words</p><p>Body {1} of the text</p></{0}><div class="b1"><ul><li>{1}</li></ul></div></body></html>'
+
+
+def test_html_template_text_of_articles(monkeypatch):
+    """A box that recurs on all pages of a host leaves the article, a paragraph that recurs among others stays; without deduction the box stays."""
+    pages = [html_extract.parse(TOOLS.format("article", i, "box", "Top")) for i in range(6)]
+    want = [f"Head {i} Same words Body {i} of the text" for i in range(6)]
+    assert html_extract.main_texts(pages) == want
+    monkeypatch.setattr(html_extract, "deduce", lambda _: html_extract.Template())
+    assert html_extract.main_texts(pages) == [w.replace(" Same", " Read more on our site Same") for w in want]
+
+
+def test_html_by_template_alone(monkeypatch):
+    """No article, main or telling names, and no element around the article: slots tell it from text that recurs and from short lists."""
+    body = "".join(f"<p>{{0}} sentence {k} of the page and its story</p>" for k in range(6))
+    page = '<body><div class="q1"><p>Our site</p><p>All rights</p></div><h1>On {0}</h1>' + body + '<div class="q2"><p>Terms and more</p></div></body>'
+    pages = [html_extract.parse(page.format(f"w{i}")) for i in range(8)]
+    want = [f"On w{i} " + " ".join(f"w{i} sentence {k} of the page and its story" for k in range(6)) for i in range(8)]
+    assert html_extract.main_texts(pages) == want
+    monkeypatch.setattr(html_extract, "deduce", lambda _: html_extract.Template())
+    assert html_extract.main_texts(pages) != want
+
+
+def test_html_classes_are_valid():
+    """Against brute force: a class's tokens come in one order, time after time, within one slot of the class around it."""
+    pages = [html_extract.parse("<body><h1>T</h1><ul>" + f"<li><b>x</b><i>{i}</i></li>" * n + f"</ul><p>p{i}</p></body>") for i, n in enumerate((2, 5, 3, 1))]
+    t = html_extract.deduce(pages)
+    assert len(t.classes) == 2 and t.parents[0] == (-1, 0) and t.parents[1][0] == 0
+    for order, (parent, slot) in zip(t.classes, t.parents):
+        for p in pages:
+            seen = [x for x in p.tokens if x in order]
+            assert seen == list(order) * (len(seen) // len(order))
+            if parent >= 0:
+                a, b = (p.tokens.index(t.classes[parent][slot + d]) for d in (0, 1))
+                assert all(a < i < b for i, x in enumerate(p.tokens) if x in order)
+    assert {x.split(">")[-1] for x in t.classes[1] if x[0] != "="} == {"li", "b", "i"}
+
+
+def test_html_deep_nesting():
+    page = html_extract.parse("<div>" * 20_000 + "deep" + "</div>" * 20_000)
+    assert html_extract.main_texts([page]) == ["deep"]
+
+
 def test_html_copies_keep_their_text(spark):
     page = PAGE.format(open="<article>", close="</article>", title="Same", more="")
     got = html_extract.extract(spark.createDataFrame([(i, "http://h.example/", page) for i in range(70)], "page_id long, url string, html string")).collect()

@@ -1 +1 @@
-"""Grammar operators: column parsers that compile to native expressions, and a cursor for recursive formats."""
+"""Grammar operators: column rules that compile to native expressions, and a cursor for recursive formats."""

@@ -1,6 +1,6 @@
 """Grammar operators over columns.
 
-A parser is a function from the input that is left (a string or binary column) to struct(value, used), or null where it
+A rule is a function from the input that is left (a string or binary column) to struct(value, used), or null where it
 fails. Operators compose such functions, and the whole grammar is one native expression that Catalyst can push, prune
 and compile; nothing leaves the JVM. Shared parts are bound once, so an expression stays linear in the grammar's size.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import as_column, index_of, let, rest_from, slice_, starts_with
 
-Parser = Callable[[Column], Column]
+Rule = Callable[[Column], Column]
 
 
 def result(value: Column, used: Column) -> Column:
@@ -28,22 +28,22 @@ def _when(test: Column, value: Column, used: Column) -> Column:
 # elements and fixed sequences
 
 
-def element() -> Parser:
+def element() -> Rule:
     """Any one element; fails at the end of the input."""
     return lambda s: _when(F.length(s) > 0, F.substring(s, 1, 1), F.lit(1))
 
 
-def predicate_element(test: Callable[[Column], Column]) -> Parser:
+def predicate_element(test: Callable[[Column], Column]) -> Rule:
     """One element that satisfies test."""
     return lambda s: let(F.substring(s, 1, 1), lambda e: _when((F.length(s) > 0) & F.coalesce(test(e), F.lit(False)), e, F.lit(1)))
 
 
-def exact(sequence: str | bytes) -> Parser:
+def exact(sequence: str | bytes) -> Rule:
     """This element or sequence."""
     return lambda s: _when(starts_with(s, sequence), F.lit(sequence), F.lit(len(sequence)))
 
 
-def fixed(n: Column | int) -> Parser:
+def fixed(n: Column | int) -> Rule:
     """Exactly n elements; a negative n is an error of the grammar."""
     if isinstance(n, int) and n < 0:
         raise ValueError("a length is at least 0")
@@ -52,28 +52,28 @@ def fixed(n: Column | int) -> Parser:
     return lambda s: let(slice_(s, 0, n), lambda v: _when(v.isNotNull(), v, n))
 
 
-def skip(n: Column | int) -> Parser:
+def skip(n: Column | int) -> Rule:
     """Passes over n elements without a value; may run past the end."""
     if isinstance(n, int) and n < 1:
         raise ValueError("skip needs a positive length")
     return lambda s: result(F.lit(None).cast("string"), as_column(n))
 
 
-def end_of_input() -> Parser:
+def end_of_input() -> Rule:
     return lambda s: _when(F.length(s) == 0, F.lit(None).cast("string"), F.lit(0))
 
 
-def slice_bounded(p: Parser, n: Column | int, all_of_it: bool = True) -> Parser:
+def slice_bounded(p: Rule, n: Column | int, all_of_it: bool = True) -> Rule:
     """p sees the next n elements only and, unless told otherwise, must use them all."""
     return lambda s: let(slice_(s, 0, n), lambda part: let(p(part), lambda r: F.when(part.isNotNull() & (r["used"] == as_column(n) if all_of_it else r.isNotNull()), r)))
 
 
-def consumed(p: Parser) -> Parser:
+def consumed(p: Rule) -> Rule:
     """struct(value, raw): p's value and the piece of input it used."""
     return lambda s: let(p(s), lambda r: F.when(r.isNotNull(), result(F.struct(r["value"].alias("value"), F.substring(s, F.lit(1), r["used"]).alias("raw")), r["used"])))
 
 
-def regex(pattern: str, group: int = 0) -> Parser:
+def regex(pattern: str, group: int = 0) -> Rule:
     """A match at the very start of the input; an empty match is a match."""
     anchored = rf"\A(?:{pattern})"
     return lambda s: _when(F.regexp_like(s, F.lit(anchored)), F.regexp_extract(s, anchored, group), F.length(F.regexp_extract(s, anchored, 0)))
@@ -82,17 +82,17 @@ def regex(pattern: str, group: int = 0) -> Parser:
 # terminated and separated sequences
 
 
-def terminated(end: str | bytes, take_end: bool = True) -> Parser:
+def terminated(end: str | bytes, take_end: bool = True) -> Rule:
     """What comes before the first end, which is used up unless told otherwise; fails without one."""
 
-    def parser(s: Column) -> Column:
+    def rule(s: Column) -> Column:
         i = index_of(s, end)  # compiled code finds it once
         return _when(i >= 0, F.substring(s, F.lit(1), i), i + (len(end) if take_end else 0))
 
-    return parser
+    return rule
 
 
-def terminated_pieces(end: str) -> Parser:
+def terminated_pieces(end: str) -> Rule:
     """All pieces that end with `end`, to the end of the input; empty pieces stay; an unterminated tail fails."""
     return lambda s: let(F.split(s, _quoted(end), -1), lambda a: _when((F.length(s) == 0) | F.endswith(s, F.lit(end)), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.length(s)))
 
@@ -101,18 +101,18 @@ def _quoted(text: str) -> str:
     return rf"\Q{text}\E" if r"\E" not in text else "".join("\\" + c if not c.isalnum() else c for c in text)
 
 
-def separated(item: str, separator: str, least: int = 0) -> Parser:
+def separated(item: str, separator: str, least: int = 0) -> Rule:
     """Items (a regular expression) with separators between; a separator at the end isn't used. least: 0 or 1."""
     step = rf"(?:\A|(?!\A)\G(?:{separator}))({item})"  # each match begins where the last one ended: no recursion, whatever the length
     return lambda s: let(F.regexp_extract_all(s, F.lit(step), F.lit(0)), lambda a: _when(F.size(a) >= least, F.regexp_extract_all(s, F.lit(step), F.lit(1)), F.length(F.array_join(a, ""))))
 
 
-def many(item: str, least: int = 0) -> Parser:
+def many(item: str, least: int = 0) -> Rule:
     """Repetitions of a regular expression, as many as follow one another; empty matches stop and don't count."""
     return lambda s: let(F.regexp_extract_all(s, F.lit(rf"\G(?:{item})"), F.lit(0)), lambda a: let(F.filter(a, lambda x: x != ""), lambda v: _when(F.size(v) >= least, v, F.length(F.array_join(v, "")))))
 
 
-def terminated_array(item: str, end: str) -> Parser:
+def terminated_array(item: str, end: str) -> Rule:
     """struct(items, end): items up to the first place where end matches."""
     step = rf"\G(?!{end})(?:{item})"
 
@@ -126,13 +126,13 @@ def terminated_array(item: str, end: str) -> Parser:
 # structure
 
 
-def tuple_(parsers: Sequence[Parser]) -> Parser:
+def tuple_(rules: Sequence[Rule]) -> Rule:
     """Values in sequence as struct(_1, _2, ...)."""
-    return object_({f"_{i + 1}": p for i, p in enumerate(parsers)})
+    return object_({f"_{i + 1}": p for i, p in enumerate(rules)})
 
 
-def object_(fields: Mapping[str, object]) -> Parser:
-    """A record: parsers run in order of the keys; what isn't a parser is a constant; keys that begin with _ are parsed and left out (but not _1, _2 ... of tuples)."""
+def object_(fields: Mapping[str, object]) -> Rule:
+    """A record: rules run in order of the keys; what isn't a rule is a constant; keys that begin with _ are parsed and left out (but not _1, _2 ... of tuples)."""
     names = [k for k, v in fields.items() if callable(v)]
     shown = [k for k in fields if not k.startswith("_") or k[1:].isdigit()]
 
@@ -149,17 +149,17 @@ def object_(fields: Mapping[str, object]) -> Parser:
     return run
 
 
-def mapped(p: Parser, f: Callable[[Column], Column]) -> Parser:
+def mapped(p: Rule, f: Callable[[Column], Column]) -> Rule:
     return lambda s: let(p(s), lambda r: F.when(r.isNotNull(), result(f(r["value"]), r["used"])))
 
 
-def bind(p: Parser, make: Callable[[Column], Parser]) -> Parser:
-    """The second parser depends on the first's value: length prefixes and the like. The value is the second's."""
+def bind(p: Rule, make: Callable[[Column], Rule]) -> Rule:
+    """The second rule depends on the first's value: length prefixes and the like. The value is the second's."""
     return lambda s: let(p(s), lambda a: F.when(a.isNotNull(), let(make(a["value"])(rest_from(s, a["used"])), lambda b: F.when(b.isNotNull(), result(b["value"], a["used"] + b["used"])))))
 
 
-def quantifier(p: Parser, n: Column | int, width: int) -> Parser:
-    """Exactly n times a parser of fixed width, as an array."""
+def quantifier(p: Rule, n: Column | int, width: int) -> Rule:
+    """Exactly n times a rule of fixed width, as an array."""
 
     def run(s: Column) -> Column:
         count = as_column(n)
@@ -172,23 +172,23 @@ def quantifier(p: Parser, n: Column | int, width: int) -> Parser:
 # choice, option, looking ahead
 
 
-def first_of(parsers: Sequence[Parser]) -> Parser:
+def first_of(rules: Sequence[Rule]) -> Rule:
     """Ordered choice: the first that succeeds."""
-    return lambda s: F.coalesce(*(p(s) for p in parsers))
+    return lambda s: F.coalesce(*(p(s) for p in rules))
 
 
-def exclusive(parsers: Sequence[Parser]) -> Parser:
+def exclusive(rules: Sequence[Rule]) -> Rule:
     """Exclusive choice: none of them is a failure, more than one an error of the grammar, which stops the query."""
 
     def run(s: Column) -> Column:
-        every = F.filter(F.array(*(p(s) for p in parsers)), lambda r: r.isNotNull())
+        every = F.filter(F.array(*(p(s) for p in rules)), lambda r: r.isNotNull())
         return let(every, lambda a: F.when(F.size(a) == 1, F.element_at(a, 1)).when(F.size(a) > 1, F.raise_error(F.lit("more than one alternative of an exclusive choice matches"))))
 
     return run
 
 
-def switch(arms: Mapping[str, Parser], default: Parser | None = None) -> Parser:
-    """The parser for the next element, which isn't used by the choice itself."""
+def switch(arms: Mapping[str, Rule], default: Rule | None = None) -> Rule:
+    """The rule for the next element, which isn't used by the choice itself."""
 
     def run(s: Column) -> Column:
         first = F.substring(s, 1, 1)
@@ -200,39 +200,39 @@ def switch(arms: Mapping[str, Parser], default: Parser | None = None) -> Parser:
     return run
 
 
-def optional(p: Parser) -> Parser:
+def optional(p: Rule) -> Rule:
     """p, or a null value without using anything."""
     return lambda s: let(p(s), lambda r: result(r["value"], F.coalesce(r["used"], F.lit(0))))
 
 
-def lookahead(p: Parser) -> Parser:
+def lookahead(p: Rule) -> Rule:
     """p's value, but nothing is used."""
     return lambda s: let(p(s), lambda r: F.when(r.isNotNull(), result(r["value"], F.lit(0))))
 
 
-def negative_lookahead(p: Parser) -> Parser:
+def negative_lookahead(p: Rule) -> Rule:
     """Succeeds, using nothing, where p fails."""
     return lambda s: F.when(p(s).isNull(), result(F.lit(None).cast("string"), F.lit(0)))
 
 
-# running a parser
+# running a rule
 
 
-def parse(p: Parser, s: Column) -> Column:
+def parse(p: Rule, s: Column) -> Column:
     """The value if p uses the whole input, else null."""
     return let(p(s), lambda r: F.when(r["used"] >= F.length(s), r["value"]))
 
 
-def parse_prefix(p: Parser, s: Column) -> Column:
+def parse_prefix(p: Rule, s: Column) -> Column:
     """struct(value, position, remaining), null where p fails."""
     return let(p(s), lambda r: F.when(r.isNotNull(), F.struct(r["value"].alias("value"), r["used"].alias("position"), rest_from(s, r["used"]).alias("remaining"))))
 
 
-def parse_value(p: Parser, s: Column) -> Column:
+def parse_value(p: Rule, s: Column) -> Column:
     """The value, whatever follows, null where p fails; what remains isn't built."""
     return p(s)["value"]
 
 
-def parse_strict(p: Parser, s: Column) -> Column:
+def parse_strict(p: Rule, s: Column) -> Column:
     """As parse, but a failure stops the query."""
     return let(p(s), lambda r: F.when(r["used"] >= F.length(s), r["value"]).when(r.isNotNull(), F.raise_error(F.lit("input remains"))).otherwise(F.raise_error(F.lit("the input doesn't parse"))))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import struct
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,6 +22,10 @@ class ParseFailure(Exception):
         return f"{self.name} at {self.position}: {self.message}"
 
 
+#: Frames that a rule may use: some thousands of levels of nesting in every format. What is deeper fails as TooDeep.
+FRAMES = 150_000
+
+
 class GrammarError(Exception):
     """The grammar itself is wrong; never recovered from."""
 
@@ -88,34 +94,34 @@ class Cursor:
         out.depth, self.at = self.depth + 1, self.at + n
         return out
 
-    def attempt(self, parser: Callable[[Cursor], object]) -> tuple[bool, object]:
+    def attempt(self, rule: Callable[[Cursor], object]) -> tuple[bool, object]:
         """(True, value), or (False, failure) with the position as before."""
         at = self.at
         try:
             self.depth += 1
-            return True, parser(self)
+            return True, rule(self)
         except ParseFailure as e:
             self.at = at
             return False, e
         finally:
             self.depth -= 1
 
-    def first(self, *parsers: Callable[[Cursor], object]):  # noqa: ANN201
-        """Ordered choice; the failure that got furthest is raised."""
-        failures = []
-        for p in parsers:
+    def first(self, *rules: Callable[[Cursor], object]):  # noqa: ANN201
+        """Ordered choice; of the failures that join_failures keeps (here: those that got furthest) the first is raised."""
+        failures: list[ParseFailure] = []
+        for p in rules:
             ok, got = self.attempt(p)
             if ok:
                 return got
             failures.append(got)
-        raise max(failures, key=lambda f: f.position)
+        raise join_failures(failures, "furthest")[0]
 
-    def repeat(self, parser: Callable[[Cursor], object]) -> list:
+    def repeat(self, rule: Callable[[Cursor], object]) -> list:
         """As often as it succeeds; an empty success stops and doesn't count."""
         out = []
         while True:
             at = self.at
-            ok, got = self.attempt(parser)
+            ok, got = self.attempt(rule)
             if not ok or self.at == at:
                 self.at = at
                 return out
@@ -133,10 +139,21 @@ def join_failures(failures: list[ParseFailure], mode: str = "all") -> list[Parse
     return [f for f in failures if key(f) == most]
 
 
-def run(parser: Callable[[Cursor], object], data: str | bytes, partial: bool = False):  # noqa: ANN201
-    """The value of the whole input; with partial (value, position)."""
-    c = Cursor(data)
-    value = parser(c)
+def run(rule: Callable[[Cursor], object], data: str | bytes, partial: bool = False):  # noqa: ANN201
+    """The value of the whole input; with partial (value, position). Whatever the input, only a ParseFailure is raised.
+
+    Values that no number, date or text can hold fail as Malformed, nesting beyond FRAMES as TooDeep.
+    """
+    c, before = Cursor(data), sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, FRAMES))
+    try:
+        value = rule(c)
+    except RecursionError:
+        raise ParseFailure("TooDeep", "less nesting wanted", c.at, c.depth) from None
+    except (ValueError, OverflowError, LookupError, struct.error) as e:
+        raise ParseFailure("Malformed", f"{type(e).__name__}: {e}", c.at, c.depth) from e
+    finally:
+        sys.setrecursionlimit(before)
     if partial:
         return value, c.at
     if not c.done():

@@ -79,11 +79,11 @@ class Tokens:
         if not self.accept(text):
             raise self.fail(repr(text))
 
-    def attempt(self, parser: Callable[[], object]):  # noqa: ANN201
-        """The parser's value, or None with the position as before."""
+    def attempt(self, rule: Callable[[], object]):  # noqa: ANN201
+        """The rule's value, or None with the position as before."""
         at = self.at
         try:
-            return parser()
+            return rule()
         except ParseFailure:
             self.at = at
             return None
@@ -101,8 +101,8 @@ class Tokens:
         return out
 
     @contextmanager
-    def nested(self, most: int = 120) -> Iterator[None]:
-        """Depth of recursion, bounded so that no input exhausts the stack."""
+    def nested(self, most: int = 5000) -> Iterator[None]:
+        """Depth of recursion, bounded by `most` levels."""
         self.depth += 1
         try:
             if self.depth > most:
@@ -111,10 +111,10 @@ class Tokens:
         finally:
             self.depth -= 1
 
-    def whole(self, parser: Callable[[], object]):  # noqa: ANN201
-        """The parser's value of all tokens; else the failure that got furthest."""
+    def whole(self, rule: Callable[[], object]):  # noqa: ANN201
+        """The rule's value of all tokens; else the failure that got furthest."""
         try:
-            value = parser()
+            value = rule()
             if self.kind != "end":
                 raise self.fail("end of text")
         except ParseFailure as e:

@@ -237,7 +237,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.subtract_ranges(wide, single, ["brand"], "low", "high")
 
 
-# formats: what the writers write, the parsers must read
+# formats: what the writers write, the rules must read
 @query("json_values", "select event_id, (json_extract(props, '$.k')::double) as k from events")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = tables.parse_column(t(spark, sf_dir, "events").select("event_id", "props"), "props", "json")

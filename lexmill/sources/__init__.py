@@ -1 +1 @@
-"""Formats: parsers and writers of single values, and how DataFrames apply them."""
+"""Formats: rules and writers of single values, and how DataFrames apply them."""

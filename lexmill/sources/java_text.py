@@ -1,4 +1,4 @@
-"""Java trees as text, which the parser reads back to the same tree."""
+"""Java trees as text, which the rule reads back to the same tree."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""JavaScript trees as text, which the parser reads back to the same tree; parentheses where what binds less stands inside."""
+"""JavaScript trees as text, which the rule reads back to the same tree; parentheses where what binds less stands inside."""
 
 from __future__ import annotations
 

@@ -7,14 +7,42 @@ import re
 from ..operators.cursor import Cursor
 
 SPACE = re.compile(r"\s*")
-STRING = re.compile(r'"((?:[^"\\]|\\.)*)"', re.S)
-ATOM = re.compile(r"""(?:[^\s()"'`,;\\]|\\.)+""", re.S)
 MARKS = (("'", "quote"), ("`", "quasiquote"), (",@", "unquote-splicing"), (",", "unquote"))
+#: What a letter stands for behind a backslash in a string; any other character stands for itself.
+ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "f": "\f", "b": "\b"}
+LETTERS = {v: k for k, v in ESCAPES.items()}
+#: What ends an atom, unless a backslash stands before it.
+ENDS = set("()\"'`,;")
+
+
+def _string(c: Cursor) -> str:
+    out = []
+    while (x := c.take(1)) != '"':
+        if x == "\\":
+            x = c.take(1)
+            x = ESCAPES.get(x, x)
+        out.append(x)
+    return "".join(out)
+
+
+def _atom(c: Cursor) -> str:
+    """Up to an end; a backslash makes its character part of the atom (but for a line's end), one at the very end is dropped."""
+    out: list[str] = []
+    while (x := c.peek()) and x not in ENDS and not x.isspace():
+        if x == "\\":
+            two = c.peek(2)
+            if len(two) < 2 or two[1] in "\n\r  ":
+                if out:
+                    c.take(1)
+                break
+            c.take(1)
+        out.append(c.take(1))
+    return "".join(out)
 
 
 def expression(c: Cursor) -> dict:
-    if m := c.match(STRING):
-        return {"type": "string", "value": re.sub(r"\\(.)", r"\1", m[1], flags=re.S)}
+    if c.accept('"'):
+        return {"type": "string", "value": _string(c)}
     for mark, kind in MARKS:
         if c.accept(mark):
             c.match(SPACE)
@@ -26,8 +54,8 @@ def expression(c: Cursor) -> dict:
             out.append(expression(c))
             c.match(SPACE)
         return {"type": "list", "expressions": out}
-    if m := c.match(ATOM):
-        return {"type": "atom", "value": re.sub(r"\\(.)", r"\1", m[0], flags=re.S)}
+    if value := _atom(c):
+        return {"type": "atom", "value": value}
     raise c.fail("Unexpected", "an expression wanted")
 
 
@@ -41,9 +69,9 @@ def document(c: Cursor) -> dict:
 def write(e: dict) -> str:
     kind = e["type"]
     if kind == "atom":
-        return re.sub(r"""([\s()"'`,;\\])""", r"\\\1", e["value"])
+        return "".join("\\" + x if x in ENDS or x == "\\" or x.isspace() else x for x in e["value"])
     if kind == "string":
-        return '"' + re.sub(r'(["\\])', r"\\\1", e["value"]) + '"'
+        return '"' + "".join("\\" + (LETTERS.get(x) or x) if x in LETTERS or x in '"\\' else x for x in e["value"]) + '"'
     if kind == "list":
         return "(" + " ".join(map(write, e["expressions"])) + ")"
     return next(m for m, k in MARKS if k == kind) + write(e["expression"])

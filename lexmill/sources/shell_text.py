@@ -1,4 +1,4 @@
-"""Shell syntax trees as text: what the parser reads back to the same tree."""
+"""Shell syntax trees as text: what the rule reads back to the same tree."""
 
 from __future__ import annotations
 

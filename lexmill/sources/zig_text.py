@@ -1,4 +1,4 @@
-"""Zig trees as text, which the parser reads back to the same tree."""
+"""Zig trees as text, which the rule reads back to the same tree."""
 
 from __future__ import annotations
 

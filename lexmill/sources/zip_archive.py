@@ -99,7 +99,7 @@ def entries(local: list[dict], central: list[dict]) -> list[dict]:
 
 
 def archive(c: Cursor, between=None) -> dict:  # noqa: ANN001
-    """{comment, entries}; between: a parser of what may stand before the central directory."""
+    """{comment, entries}; between: a rule of what may stand before the central directory."""
     local = c.repeat(local_file) if not c.starts(END) else []
     if not (c.starts(CENTRAL) or c.starts(END)) and between is None:
         local_file(c)  # for its failure

@@ -12,8 +12,8 @@ def one(spark, column, data, kind="string"):
     return spark.createDataFrame([(data,)], f"s {kind}").select(column.alias("v")).first()[0]
 
 
-def value(spark, parser, data, kind="string"):
-    got = one(spark, G.parse_prefix(parser, F.col("s")), data, kind)
+def value(spark, rule, data, kind="string"):
+    got = one(spark, G.parse_prefix(rule, F.col("s")), data, kind)
     return got and (got["value"], got["position"])
 
 
@@ -27,7 +27,7 @@ def test_sequences(spark):
 
 
 @pytest.mark.parametrize(
-    ("parser", "data", "expected"),
+    ("rule", "data", "expected"),
     [
         (G.exact("ab"), "abc", ("ab", 2)), (G.exact("ab"), "a", None), (G.fixed(3), "ab", None), (G.fixed(0), "ab", ("", 0)),
         (G.end_of_input(), "", (None, 0)), (G.end_of_input(), "x", None),
@@ -42,8 +42,8 @@ def test_sequences(spark):
         (G.regex("x*"), "ab", ("", 0)), (G.skip(2), "abc", (None, 2)),
     ],
 )
-def test_parsers(spark, parser, data, expected):
-    got = value(spark, parser, data)
+def test_rules(spark, rule, data, expected):
+    got = value(spark, rule, data)
     assert got == expected if expected is None or not hasattr(got[0], "asDict") else (tuple(got[0]), got[1]) == expected
 
 

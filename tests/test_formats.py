@@ -1,7 +1,9 @@
 """Round trips and hand-made cases of the recursive formats."""
 
+import contextlib
 import io
 import json
+import random
 import struct
 import zipfile
 from datetime import UTC, datetime
@@ -146,12 +148,46 @@ def test_zip_source(spark, tmp_path):
     for i in range(2):
         with zipfile.ZipFile(tmp_path / f"{i}.zip", "w") as z:
             z.writestr("f.txt", f"text {i}")
-    spark.dataSource.register(tables.ZipDataSource)
-    got = spark.read.format("lexmill_zip").load(str(tmp_path)).collect()
-    assert sorted(bytes(r.content) for r in got) == [b"text 0", b"text 1"]
+    (tmp_path / "bad.zip").write_bytes(b"PK\x03\x04 not really")
+    got = tables.read_archives(spark, str(tmp_path)).collect()
+    assert sorted(bytes(r.content) for r in got if not r.error) == [b"text 0", b"text 1"]
+    assert [r.archive.endswith("bad.zip") for r in got if r.error] == [True]
     assert tables.read_files(spark, str(tmp_path), "zip").where("error is null").count() == 2
 
 
+@pytest.mark.parametrize(("form", "text"), [("json", "[" * 3000 + "1" + "]" * 3000), ("s_expression", "(" * 3000 + "a" + ")" * 3000), ("shell", "(" * 400 + "ls" + ")" * 400), ("java", "class A { int x = " + "(" * 300 + "1" + ")" * 300 + "; }")])
+def test_deep_nesting_is_read(form, text):
+    value = run(tables.FORMATS[form][0], text)
+    assert tables.to_json(value) and len(tables.flatten(value)) > 300 - 299 * (form == "java")
+
+
+@pytest.mark.parametrize("form", sorted(tables.FORMATS))
+def test_any_bytes_are_a_value_or_a_failure(form):
+    """Random inputs, cut and changed ones, and nesting without end: never another exception than a failure."""
+    rng = random.Random(form)
+    rule, binary = tables.FORMATS[form]
+    marks = ["(", "[", "{", '"', "'", "\\", "\n", "a", "1", "-", " ", ";", "$", "`", "<", "=", "\ud800", "class A ", "const x = ", ".method "]
+    heads = [b"PK\x03\x04", b"dex\n035\0", b"\xfe\xed\xfe\xed\0\0\0\2", b"\x12\0\0\0\x02a\0", b""]
+    for i in range(150):
+        x = rng.choice(heads) + rng.randbytes(rng.randrange(80)) if binary else "".join(rng.choice(marks) for _ in range(rng.randrange(60)))
+        with contextlib.suppress(ParseFailure):
+            run(rule, x)
+    if not binary:
+        for mark in "([{":
+            with contextlib.suppress(ParseFailure):
+                run(rule, mark * 3000)
+
+
+def test_symbolic_escapes():
+    read = lambda x: run(s_expression.document, x)["value"]
+    assert read(r'"a\nb\t\r\f\b\q\"\\"') == 'a\nb\t\r\f\bq"\\'
+    assert read(r"a\ b\(") == "a b(" and read("ab\\") == "ab"
+    for value in ('x\n"\\\t', "plain"):
+        assert read(s_expression.write({"type": "string", "value": value})) == value
+    with pytest.raises(ParseFailure):
+        run(s_expression.document, "\\")
+
+
 def test_stream(spark, tmp_path):
     from lexmill.streaming.chunks import split_stream
 

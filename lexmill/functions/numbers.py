@@ -30,6 +30,29 @@ def sint(b: Column, offset: Column | int, width: int, little: bool = True) -> Co
     return F.when(u >= 1 << (8 * width - 1), u - (1 << 8 * width)).otherwise(u)
 
 
+def double(b: Column, offset: Column | int = 0, little: bool = True) -> Column:
+    """The IEEE double of 8 bytes at offset; null unless all bytes are there."""
+    offset = as_column(offset)
+    piece = slice_(b, offset, offset + 8)
+    h = F.hex(piece)
+    if little:
+        h = F.concat(*(F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)))
+    head, tail = F.conv(F.substring(h, 1, 3), 16, 10).cast("int"), F.conv(F.substring(h, 4, 13), 16, 10).cast("double")
+    power, sign = head.bitwiseAND(2047), F.when(head >= 2048, F.lit(-1.0)).otherwise(F.lit(1.0))
+    size = F.when(power == 0, tail * F.lit(5e-324)).otherwise((tail + F.lit(float(1 << 52))) * F.pow(F.lit(2.0), power - 1075))
+    return F.when(piece.isNull(), F.lit(None)).when(power == 2047, F.when(tail > 0, F.lit(float("nan"))).otherwise(sign * F.lit(float("inf")))).otherwise(sign * size)
+
+
+def adler32(b: Column) -> Column:
+    """Adler-32 of a binary, as long; null for null."""
+    h = F.hex(b)
+    byte = lambda i: F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
+    places = F.when(F.length(b) > 0, F.sequence(F.lit(0), F.length(b) - 1)).otherwise(F.array().cast("array<int>"))
+    step = lambda a, i: let((a["a"] + byte(i)) % 65521, lambda x: F.struct(x.alias("a"), ((a["b"] + x) % 65521).alias("b")))
+    sums = F.aggregate(places, F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b")), step)
+    return F.when(b.isNotNull(), let(sums, lambda x: x["b"] * 65536 + x["a"]))
+
+
 def _leb_digits(b: Column, offset: Column) -> Column:
     """Hexadecimal digits of the LEB128 number at offset: up to the first byte below 128; null if there is none in ten."""
     return F.regexp_substr(F.hex(F.substring(b, offset + 1, F.lit(10))), F.lit(r"\A(?:[89A-F].){0,9}[0-7]."))

@@ -25,6 +25,11 @@ def length(s: Column) -> Column:
     return F.length(s)
 
 
+def is_text(s: Column) -> Column:
+    """Is a sequence of characters, not of bytes."""
+    return F.typeof(s) == "string"
+
+
 def utf16_length(s: Column) -> Column:
     """Length of a string in UTF-16 units: characters beyond the basic plane count twice."""
     return (F.octet_length(F.encode(s, "UTF-16BE")) / 2).cast("int")

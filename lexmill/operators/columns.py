@@ -1,8 +1,9 @@
 """Grammar operators over columns.
 
 A rule is a function from the input that is left (a string or binary column) to struct(value, used), or null where it
-fails. Operators compose such functions, and the whole grammar is one native expression that Catalyst can push, prune
-and compile; nothing leaves the JVM. Shared parts are bound once, so an expression stays linear in the grammar's size.
+fails. Operators compose such functions, and the whole grammar is one native expression; nothing leaves the JVM. Shared
+parts are bound once, by a transform of one element, so an expression stays linear in the grammar's size; such a binding
+is interpreted, not compiled, and a predicate on a grammar's result isn't pushed to the scan.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.numbers import uint
 from ..functions.sequence import as_column, index_of, let, rest_from, slice_, starts_with
 
 Rule = Callable[[Column], Column]
@@ -59,6 +61,12 @@ def skip(n: Column | int) -> Rule:
     return lambda s: result(F.lit(None).cast("string"), as_column(n))
 
 
+def skip_to(at: Column | int, place: Column | int) -> Rule:
+    """Passes over what is before position `place` of the whole input, of which `at` elements are used; never goes back."""
+    at, place = as_column(at), as_column(place)
+    return lambda s: F.when((place >= at) & (place - at <= F.length(s)), result(F.lit(None).cast("string"), place - at))
+
+
 def end_of_input() -> Rule:
     return lambda s: _when(F.length(s) == 0, F.lit(None).cast("string"), F.lit(0))
 
@@ -101,6 +109,17 @@ def _quoted(text: str) -> str:
     return rf"\Q{text}\E" if r"\E" not in text else "".join("\\" + c if not c.isalnum() else c for c in text)
 
 
+def pieces(separator: str) -> Rule:
+    """All pieces between a literal separator, to the end of the input; empty pieces stay, so there is one at least."""
+    return lambda s: F.when(s.isNotNull(), result(F.split(s, _quoted(separator), -1), F.length(s)))
+
+
+def regex_groups(pattern: str, groups: int) -> Rule:
+    """A match at the very start of the input as an array: the whole match, then each group ('' where it takes no part)."""
+    anchored = rf"\A(?:{pattern})"
+    return lambda s: _when(F.regexp_like(s, F.lit(anchored)), F.array(*(F.regexp_extract(s, anchored, g) for g in range(groups + 1))), F.length(F.regexp_extract(s, anchored, 0)))
+
+
 def separated(item: str, separator: str, least: int = 0) -> Rule:
     """Items (a regular expression) with separators between; a separator at the end isn't used. least: 0 or 1."""
     step = rf"(?:\A|(?!\A)\G(?:{separator}))({item})"  # each match begins where the last one ended: no recursion, whatever the length
@@ -123,6 +142,73 @@ def terminated_array(item: str, end: str) -> Rule:
     return run
 
 
+# repetition of any rule
+
+
+def _loop(s: Column, p: Rule, step: Callable[[Column, Column], Column], at: Column | int = 0) -> Column:
+    """struct(values, at, done) after as many steps as the input has elements; step(state, p's result there) says what is next."""
+    none = F.slice(F.transform(F.array(p(s)), lambda r: r["value"]), 1, 0)
+    start = F.struct(none.alias("values"), as_column(at).cast("int").alias("at"), F.lit(False).alias("done"))
+    once = lambda acc, _: F.when(acc["done"], acc).otherwise(let(p(rest_from(s, acc["at"])), lambda r: step(acc, r)))
+    return F.aggregate(F.sequence(F.lit(0), F.length(s)), start, once)
+
+
+def _state(values: Column, at: Column, done: Column | bool) -> Column:
+    return F.struct(values.alias("values"), at.cast("int").alias("at"), as_column(done).alias("done"))
+
+
+def array_of(p: Rule, least: int = 0) -> Rule:
+    """p as often as it succeeds, as an array of its values; a success that uses nothing stops and doesn't count."""
+    go = lambda acc, r: F.when(F.coalesce(r["used"], F.lit(0)) > 0, _state(F.array_append(acc["values"], r["value"]), acc["at"] + r["used"], False)).otherwise(_state(acc["values"], acc["at"], True))
+    return lambda s: let(_loop(s, p, go), lambda a: _when(F.size(a["values"]) >= least, a["values"], a["at"]))
+
+
+def separated_by(p: Rule, separator: Rule, least: int = 0) -> Rule:
+    """Values of p with a separator between each two; a separator that no p follows isn't used."""
+    rest = bind_second(separator, p)
+    go = lambda acc, r: F.when(F.coalesce(r["used"], F.lit(0)) > 0, _state(F.array_append(acc["values"], r["value"]), acc["at"] + r["used"], False)).otherwise(_state(acc["values"], acc["at"], True))
+
+    def run(s: Column) -> Column:
+        first = p(s)
+        more = lambda f: let(_loop(s, rest, go, f["used"]), lambda a: result(F.concat(F.array(f["value"]), a["values"]), a["at"]))
+        empty = result(F.slice(F.transform(F.array(first), lambda r: r["value"]), 1, 0), F.lit(0)) if least == 0 else F.lit(None)
+        return let(first, lambda f: F.when(f.isNotNull(), more(f)).otherwise(empty))
+
+    return run
+
+
+def bind_second(first: Rule, second: Rule) -> Rule:
+    """first, then second; the value is the second's."""
+    return bind(first, lambda _: second)
+
+
+def array_until(p: Rule, end: Rule, checked: bool = True) -> Rule:
+    """struct(items, end): values of p up to the first place where end succeeds. Checked: both succeeding there stops the query."""
+
+    def run(s: Column) -> Column:
+        both = lambda x: F.struct(p(x).alias("item"), end(x).alias("end"))
+        none = F.slice(F.transform(F.array(p(s)), lambda r: r["value"]), 1, 0)
+        start = _state(none, F.lit(0), False)
+
+        def step(acc: Column, r: Column) -> Column:
+            item = F.when(F.coalesce(r["item"]["used"], F.lit(0)) > 0, _state(F.array_append(acc["values"], r["item"]["value"]), acc["at"] + r["item"]["used"], False)).otherwise(_state(acc["values"], F.lit(-1), True))
+            found = F.when(r["end"].isNotNull(), _state(acc["values"], acc["at"], True))
+            if checked:
+                found = F.when(r["end"].isNotNull() & r["item"].isNotNull(), F.raise_error(F.lit("both an item and the end of the array match"))).when(r["end"].isNotNull(), _state(acc["values"], acc["at"], True))
+            return found.otherwise(item)
+
+        loop = F.aggregate(F.sequence(F.lit(0), F.length(s)), start, lambda acc, _: F.when(acc["done"], acc).otherwise(let(both(rest_from(s, acc["at"])), lambda r: step(acc, r))))
+        close = lambda a, e: F.when(e.isNotNull(), result(F.struct(a["values"].alias("items"), e["value"].alias("end")), a["at"] + e["used"]))
+        return let(loop, lambda a: F.when(a["done"] & (a["at"] >= 0), let(end(rest_from(s, a["at"])), lambda e: close(a, e))))
+
+    return run
+
+
+def prefixed(width: int, little: bool = True) -> Rule:
+    """Bytes behind their count, an unsigned integer of so many bytes."""
+    return lambda s: let(uint(s, 0, width, little), lambda n: let(slice_(s, F.lit(width), n + width), lambda v: _when(v.isNotNull(), v, n + width)))
+
+
 # structure
 
 

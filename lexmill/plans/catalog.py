@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import sequence as S
 from ..operators import columns as G
-from ..sources import android_package, dalvik_bytecode, dex_writer, keystore, shell, shell_text, tables, zip_archive
+from ..operators import writers as W
+from ..sources import android_package, dalvik_bytecode, dex_writer, keystore, s_expression, shell, shell_text, tables, zip_archive
 from ..sources import bson as bson_format
 from ..operators.cursor import run
 from .dex_tables import Executables
@@ -44,6 +46,7 @@ def over(name: str, table: str, key: str, sql: str | None, **columns: Callable[[
 
 C = F.col
 value = lambda p, column: G.parse_prefix(p, C(column))["value"]
+value2 = lambda p, x: G.parse_prefix(p, x)["value"]
 
 # sequence primitives
 over("sequence_length", "documents", "doc_id", "select doc_id, length(text)::int as chars, strlen(text)::int as bytes from documents", chars=lambda: S.length(C("text")), bytes=lambda: F.octet_length("text"))
@@ -59,7 +62,7 @@ over("element", "documents", "doc_id", "select doc_id, substring(text, 1, 1) as
 over("predicate_element", "documents", "doc_id", "select doc_id, case when regexp_matches(substring(text, 1, 1), '[A-Z]') then substring(text, 1, 1) end as capital from documents", capital=lambda: value(G.predicate_element(lambda e: e.rlike("[A-Z]")), "text"))
 over("fixed_length", "documents", "doc_id", "select doc_id, case when length(text) >= 16 then substring(text, 1, 16) end as head from documents", head=lambda: value(G.fixed(16), "text"))
 over("skip", "documents", "doc_id", "select doc_id, substring(text, 11, 5) as after from documents where length(text) >= 15 union all select doc_id, null from documents where length(text) < 15", after=lambda: value(G.object_({"_pass": G.skip(10), "after": G.fixed(5)}), "text")["after"])
-over("skip_to", "documents", "doc_id", "select doc_id, case when strlen(text) >= 24 then substr(hex(encode(text)), 41, 8) end as word from documents", word=lambda: F.hex(S.slice_(F.encode("text", "UTF-8"), 20, 24)))
+over("skip_to", "documents", "doc_id", "select doc_id, case when strlen(text) >= 24 then substr(hex(encode(text)), 41, 8) end as word from documents", word=lambda: F.hex(value2(G.bind(G.fixed(4), lambda _: G.bind(G.skip_to(4, 20), lambda _: G.fixed(4))), F.encode("text", "UTF-8"))))
 over("end_of_input", "pages", "page_id", "select page_id, regexp_matches(url, '^[a-z]+://[^/]+/$') as only_host from pages", only_host=lambda: G.parse(G.tuple_([G.regex("[a-z]+://[^/]+/"), G.end_of_input()]), C("url")).isNotNull())
 over("slice_bounded", "documents", "doc_id", "select doc_id, case when length(text) >= 20 and instr(substring(text, 1, 20), ' ') > 0 then (instr(substring(text, 1, 20), ' ') - 1)::int end as first_word from documents", first_word=lambda: F.length(value(G.slice_bounded(G.terminated(" "), 20, all_of_it=False), "text")))
 over("consumed_sequence", "pages", "page_id", "select page_id, regexp_extract(url, '^[a-z]+', 0) as raw, length(regexp_extract(url, '^[a-z]+', 0))::int as used from pages", raw=lambda: value(G.consumed(G.regex("[a-z]+")), "url")["raw"], used=lambda: G.parse_prefix(G.regex("[a-z]+"), C("url"))["position"])
@@ -91,7 +94,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("separated_array_explode", "select doc_id, (i - 1)::int as pos, string_split(text, chr(10))[i] as line from (select doc_id, text, unnest(generate_series(1, len(string_split(text, chr(10))))) as i from documents)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return t(spark, sf_dir, "documents").select("doc_id", F.posexplode(value(G.pieces("\n"), "text")).alias("pos", "line"))
 
 
 over("separated_array", "pages", "page_id", "select page_id, regexp_extract(url, '://([^/:?#]*)', 1) as host, len(string_split(regexp_extract(url, '^[a-z]+://([a-z0-9]+([.][a-z0-9]+)*)', 1), '.'))::int as labels from pages", host=lambda: F.regexp_extract("url", "://([^/:?#]*)", 1), labels=lambda: F.size(value(G.object_({"_scheme": G.regex("[a-z]+://"), "labels": G.separated("[a-z0-9]+", "[.]", 1)}), "url")["labels"]))
@@ -102,10 +105,10 @@ over("object", "pages", "page_id", "select page_id, regexp_extract(url, '^([a-z]
 over("tuple", "documents", "doc_id", "select doc_id, substring(text, 1, 2) as a, substring(text, 3, 3) as b from documents where length(text) >= 5 union all select doc_id, null, null from documents where length(text) < 5", a=lambda: value(G.tuple_([G.fixed(2), G.fixed(3)]), "text")["_1"], b=lambda: value(G.tuple_([G.fixed(2), G.fixed(3)]), "text")["_2"])
 over("map_result", "documents", "doc_id", "select doc_id, concat(substring(text, 1, 4), '!') as head from documents where length(text) >= 4 union all select doc_id, null from documents where length(text) < 4", head=lambda: value(G.mapped(G.fixed(4), lambda v: F.concat(v, F.lit('!'))), "text"))
 over("bind_length_prefix", "events", "event_id", "select event_id, substring(event_type, 1, (event_id % 3)::int) as prefix from events", prefix=lambda: G.parse_prefix(G.bind(G.mapped(G.fixed(1), lambda v: v.cast("int")), lambda n: G.fixed(n)), F.concat((C("event_id") % 3).cast("string"), C("event_type")))["value"])
-over("array_findall", "pages", "page_id", "select page_id, len(regexp_extract_all(html, '<p>', 0))::int as n from pages", n=lambda: F.size(F.regexp_extract_all("html", F.lit("<p>"), F.lit(0))))
+over("array_findall", "pages", "page_id", "select page_id, len(regexp_extract_all(html, '<p>', 0))::int as n from pages", n=lambda: F.size(value(G.many("(?s:.*?)<p>"), "html")))
 over("array", "documents", "doc_id", "select doc_id, length(regexp_extract(text, '^[A-Za-z]*', 0))::int as letters from documents", letters=lambda: F.size(value(G.many("[A-Za-z]"), "text")))
 over("non_empty_array", "documents", "doc_id", "select doc_id, nullif(length(regexp_extract(text, '^[a-z]*', 0)), 0)::int as letters from documents", letters=lambda: F.size(value(G.many("[a-z]", 1), "text")))
-over("list", "pages", "page_id", "select page_id, list_aggregate(string_split(url, '/'), 'string_agg', '>') as path from pages", path=lambda: F.array_join(F.split("url", "/", -1), ">"))
+over("list", "pages", "page_id", "select page_id, list_aggregate(string_split(url, '/'), 'string_agg', '>') as path from pages", path=lambda: F.array_join(value(G.pieces("/"), "url"), ">"))
 over("quantifier", "documents", "doc_id", "select doc_id, case when length(text) >= 16 then array_to_string(list_transform(range(0, 4), lambda i: substring(text, (i * 4 + 1)::int, 4)), '|') end as quads from documents", quads=lambda: F.array_join(value(G.quantifier(G.fixed(4), 4, 4), "text"), "|"))
 
 # choice, option, looking ahead
@@ -116,12 +119,21 @@ over("optional", "pages", "page_id", "select page_id, nullif(regexp_extract(url,
 over("lookahead", "pages", "page_id", "select page_id, case when starts_with(url, 'http') then substring(url, 1, 5) end as head from pages", head=lambda: value(G.object_({"_see": G.lookahead(G.exact("http")), "head": G.fixed(5)}), "url")["head"])
 
 
+# any rule, as often as it succeeds
+SEGMENTS = G.object_({"_host": G.regex("[a-z]+://[^/]+"), "items": G.array_of(G.object_({"_slash": G.exact("/"), "name": G.regex("[^/]*")}))})
+over("array_of_objects", "pages", "page_id", "select page_id, (len(string_split(regexp_replace(url, '^[a-z]+://[^/]+', ''), '/')) - 1)::int as n, substring(regexp_replace(url, '^[a-z]+://[^/]+', ''), 2) as path from pages", n=lambda: F.size(value(SEGMENTS, "url")["items"]), path=lambda: F.array_join(F.transform(value(SEGMENTS, "url")["items"], lambda x: x["name"]), "/"))
+LABELS = G.object_({"_scheme": G.regex("[a-z]+://"), "labels": G.separated_by(G.object_({"first": G.element(), "more": G.regex("[a-z0-9]*")}), G.exact("."), 1)})
+over("separated_by_rule", "pages", "page_id", "select page_id, regexp_extract(url, '^[a-z]+://([a-z0-9.]+)', 1) as host, len(string_split(regexp_extract(url, '^[a-z]+://([a-z0-9.]+)', 1), '.'))::int as labels from pages", host=lambda: F.array_join(F.transform(value(LABELS, "url")["labels"], lambda x: F.concat(x["first"], x["more"])), "."), labels=lambda: F.size(value(LABELS, "url")["labels"]))
+UNTIL = G.array_until(G.object_({"letter": G.regex("[a-z]")}), G.exact("://"))
+over("array_until_rule", "pages", "page_id", "select page_id, length(regexp_extract(url, '^([a-z]*)://', 1))::int as n, '://' as ending from pages", n=lambda: F.size(value(UNTIL, "url")["items"]), ending=lambda: value(UNTIL, "url")["end"])
+
+
 @query("negative_lookahead", "select page_id, url from pages where not regexp_matches(url, '^https')")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "pages").where(G.negative_lookahead(G.exact("https"))(C("url")).isNotNull()).select("page_id", "url")
 
 
-over("regexp_groups", "pages", "page_id", r"select page_id, regexp_extract(url, '^([a-z]+)://([^/]+)(/.*)?$', 2) as host, regexp_extract(url, '^([a-z]+)://([^/]+)(/.*)?$', 3) as path from pages", host=lambda: F.regexp_extract("url", r"\A([a-z]+)://([^/]+)(/.*)?$", 2), path=lambda: F.regexp_extract("url", r"\A([a-z]+)://([^/]+)(/.*)?$", 3))
+over("regexp_groups", "pages", "page_id", r"select page_id, regexp_extract(url, '^([a-z]+)://([^/]+)(/.*)?$', 2) as host, regexp_extract(url, '^([a-z]+)://([^/]+)(/.*)?$', 3) as path from pages", host=lambda: F.coalesce(value(G.regex_groups(r"([a-z]+)://([^/]+)(/.*)?$", 3), "url")[2], F.lit("")), path=lambda: F.coalesce(value(G.regex_groups(r"([a-z]+)://([^/]+)(/.*)?$", 3), "url")[3], F.lit("")))
 
 # numbers
 over("u32le", "documents", "doc_id", "select doc_id, case when strlen(text) >= 4 then ('0x' || substr(hex(encode(text)), 7, 2) || substr(hex(encode(text)), 5, 2) || substr(hex(encode(text)), 3, 2) || substr(hex(encode(text)), 1, 2))::bigint end as v from documents", v=lambda: N.uint(F.encode("text", "UTF-8"), 0, 4))
@@ -134,10 +146,19 @@ over("flags", "part", "p_partkey", "select p_partkey, p_size & 1 <> 0 as odd, p_
 over("dos_datetime", "orders", "o_orderkey", "select o_orderkey, date_trunc('day', o_orderdate)::timestamp as day from orders", day=lambda: S.let(N.dos_words(F.date_trunc("day", C("o_orderdate"))), lambda w: N.dos_datetime(w["time"], w["date"])).cast("timestamp_ntz"))
 
 # JSON
-over("json_number", "events", "event_id", "select event_id, json_extract(props, '$.k')::bigint as k from events", k=lambda: F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint"))
+over("json_number", "events", "event_id", "select event_id, json_extract(props, '$.k')::bigint as k from events", k=lambda: G.parse(G.mapped(G.object_({"_open": G.exact('{"k": '), "k": G.regex("-?[0-9]+"), "_close": G.exact("}")}), lambda v: v["k"].cast("bigint")), C("props")))
 
 # unparsing
-over("array_unparse", "documents", "doc_id", "select doc_id, true as same from documents where text is not null", same=lambda: F.array_join(F.split("text", "\n", -1), "\n") == C("text"))
+over("array_unparse", "documents", "doc_id", "select doc_id, true as same from documents where text is not null", same=lambda: W.array_of(W.as_is(), "\n")(value(G.pieces("\n"), "text")) == C("text"))
+over("record_unparse", "customer", "c_custkey", "select c_custkey, '<' || c_name || '|' || c_mktsegment || '>' as line from customer", line=lambda: W.fields({"_open": W.constant("<"), "c_name": W.as_is(), "_bar": W.constant("|"), "c_mktsegment": W.as_is(), "_close": W.constant(">")})(F.struct("c_name", "c_mktsegment")))
+over("length_prefix_round_trip", "documents", "doc_id", "select doc_id, strlen(text)::bigint as n, true as same from documents where text is not null", n=lambda: N.uint(W.prefixed(W.as_is(), 4)(F.encode("text", "UTF-8")), 0, 4), same=lambda: G.parse(G.prefixed(4), W.prefixed(W.as_is(), 4)(F.encode("text", "UTF-8"))) == F.encode("text", "UTF-8"))
+over("offset_table_unparse", "part", "p_partkey", "select p_partkey, 12::bigint as a, (12 + strlen(p_name))::bigint as b, (12 + strlen(p_name) + strlen(p_brand))::bigint as c, p_brand as brand from part",
+     **{k: (lambda i=i: N.uint(W.with_table([F.encode(x, "UTF-8") for x in ("p_name", "p_brand", "p_type")]), 4 * i, 4)) for i, k in enumerate("abc")},
+     brand=lambda: S.let(W.with_table([F.encode(x, "UTF-8") for x in ("p_name", "p_brand", "p_type")]), lambda b: F.decode(S.slice_(b, N.uint(b, 4, 4).cast("int"), N.uint(b, 8, 4).cast("int")), "UTF-8")))
+over("adler32", "pages", "page_id", "select page_id, (((length(url) + list_sum(list_transform(range(1, length(url) + 1), lambda i: ascii(substring(url, i::int, 1)) * (length(url) - i + 1)))) % 65521) * 65536 + (1 + list_sum(list_transform(range(1, length(url) + 1), lambda i: ascii(substring(url, i::int, 1))))) % 65521)::bigint as checksum from pages", checksum=lambda: N.adler32(F.encode("url", "UTF-8")))
+over("double_from_bytes", "part", "p_partkey", "select p_partkey, p_size::double / 8 as high_first, -p_size::double as low_first from part",
+     **{k: (lambda of=of, little=little: N.double(F.concat(F.element_at(F.array(*(F.lit(struct.pack("<d" if little else ">d", of(i))) for i in range(1, 60))), C("p_size").cast("int")), F.encode("p_name", "UTF-8")), 0, little)) for k, of, little in (("high_first", lambda i: i / 8, False), ("low_first", lambda i: -float(i), True))})
+over("type_test", "pages", "page_id", "select page_id, true as text_is_text, false as bytes_are_text from pages", text_is_text=lambda: S.is_text(C("url")), bytes_are_text=lambda: S.is_text(F.encode("url", "UTF-8")))
 
 
 @query("output_offsets", "select conv_id, turn, (coalesce(sum(strlen(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0))::bigint as \"offset\" from conversations")
@@ -189,6 +210,23 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dictionary(t(spark, sf_dir, "events"), "event_type", "event_id")
 
 
+@query("any_and_all", "select user_id, bool_or(value > 50) as any_large, bool_and(value > 50) as all_large from events group by user_id")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.any_and_all(t(spark, sf_dir, "events"), ["user_id"], {"large": C("value") > 50})
+
+
+@query("first_match", "select user_id, min(event_id) as event_id from events where value > 50 group by user_id")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.first_match(t(spark, sf_dir, "events"), ["user_id"], C("value") > 50, "event_id", "event_id")
+
+
+@query("upsert", "select c_custkey, coalesce(o.total, c_acctbal) as balance from customer left join (select o_custkey, arg_max(o_totalprice, o_orderkey) as total from orders group by o_custkey) o on o_custkey = c_custkey union all select o_custkey, arg_max(o_totalprice, o_orderkey) from orders where o_custkey not in (select c_custkey from customer) group by o_custkey")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = t(spark, sf_dir, "customer").select("c_custkey", C("c_acctbal").alias("balance"))
+    changes = t(spark, sf_dir, "orders").select(C("o_custkey").alias("c_custkey"), C("o_totalprice").alias("balance"), "o_orderkey")
+    return R.upsert(base, changes, "c_custkey", "o_orderkey")
+
+
 @query("section_tracking", 'select event_type as section, min(event_id) as "offset", count(*) as size from events group by event_type')
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.track_sections(t(spark, sf_dir, "events").withColumnRenamed("event_type", "section"), "section", "event_id")
@@ -255,6 +293,26 @@ def _written(df: DataFrame, key: str, text: str, write: Callable[[int, str], byt
     return df.select(key, text).mapInArrow(rows, f"{key} bigint, data {out}")
 
 
+@query("json_failures", "select event_id, 'Unexpected' as name, (length(props) - 1)::bigint as position from events")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut_off = t(spark, sf_dir, "events").select("event_id", F.expr("substring(props, 1, length(props) - 1)").alias("props"))
+    return tables.parse_column(cut_off, "props", "json").select("event_id", "error.name", "error.position")
+
+
+@query("symbolic_escapes", "select item_id, replace(text, ' ', chr(10)) as value from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _written(t(spark, sf_dir, "benchmark"), "item_id", "text", lambda k, x: s_expression.write({"type": "string", "value": x.replace(" ", "\n")}), "string")
+    return tables.parse_column(data, "data", "s_expression").select("item_id", F.variant_get(F.parse_json("value"), "$.value", "string").alias("value"))
+
+
+@query("zip_failures", "select item_id, true as failed, null::int as entry from benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from datetime import UTC, datetime
+
+    write = lambda k, x: zip_archive.write({"comment": "", "entries": [{"type": "file", "path": "f", "date": datetime(2001, 2, 3, tzinfo=UTC), "host": "unix", "compression": "store", "content": x.encode()}]}, False)[: -(k % 20 + 1)]
+    return tables.zip_entries(_written(t(spark, sf_dir, "benchmark"), "item_id", "text", write), "item_id", "data").select("item_id", C("error").isNotNull().alias("failed"), "entry")
+
+
 @query("bson_round_trip", "select item_id, item_id::double as id, text from benchmark")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _written(t(spark, sf_dir, "benchmark"), "item_id", "text", lambda k, x: bson_format.write({"id": k, "text": x, "tags": [True, None, 1.5]}))
@@ -281,7 +339,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("regex_nodes")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = _written(t(spark, sf_dir, "benchmark"), "item_id", "text", lambda k, x: "(?:" + "|".join(x.split()[:5]).replace(".", "[.]") + r")+\d{2,3}[a-z]*$", "string")
+    data = _written(t(spark, sf_dir, "benchmark"), "item_id", "text", lambda k, x: "(?:" + "|".join(x.split()).replace(".", "[.]") + r")+\d{2,3}[a-z]*$", "string")
     return tables.node_table(data, "item_id", "data", "regex").select("item_id", "node_id", "parent_id", "type", "field", "value")
 
 
@@ -297,7 +355,7 @@ def _executables(spark: SparkSession, sf_dir: str) -> Executables:
     def write(k: int, x: str) -> bytes:
         body = [{"operation": "const-string", "a": 0, "index": 7}, {"operation": "iget", "a": 1, "b": 2, "index": 0}, {"operation": "invoke-virtual", "index": 0, "registers": [2, 1, 0]}, {"operation": "return-void"}]
         code = {"registers": 4, "ins": 3, "outs": 3, "instructions": body, "tries": [{"start": 0, "count": 4, "handlers": [{"type_idx": 2, "address": 7}], "catch_all": None}], "debug": {"line_start": k, "parameter_names": [None, 5], "codes": [{"op": "special", "value": 14}]}}
-        strings = ["I", "LI", f"Lpkg/Item{k};", "Ljava/lang/Object;", "V", "count", "run", x[:20]]
+        strings = ["I", "LI", f"Lpkg/Item{k};", "Ljava/lang/Object;", "V", "count", "run", x]
         data = {"static_fields": [], "instance_fields": [{"idx": 0, "access_flags": 2}], "direct_methods": [], "virtual_methods": [{"idx": 0, "access_flags": 1, "code": code}]}
         notes = {"class": [{"visibility": "runtime", "type_idx": 1, "elements": [{"name_idx": 5, "value": {"type": "int", "value": k}}]}], "fields": [], "methods": [], "parameters": [{"idx": 0, "annotations": [[], [{"visibility": "build", "type_idx": 2, "elements": []}]]}]}
         return dex_writer.write(strings, [0, 2, 3, 4], [(1, 3, [0, 1])], [(1, 0, 5)], [(1, 0, 6)], [{"class_idx": 1, "access_flags": 1, "superclass_idx": 2, "source_file_idx": 7 if k % 2 else 0xFFFFFFFF, "interfaces": [], "data": data, "annotations": notes}])
@@ -305,7 +363,7 @@ def _executables(spark: SparkSession, sf_dir: str) -> Executables:
     return Executables(_written(t(spark, sf_dir, "benchmark"), "item_id", "text", write), "item_id", "data")
 
 
-@query("dex_classes", "select item_id, 'Lpkg/Item' || item_id || ';' as class, 'Ljava/lang/Object;' as superclass, case when item_id % 2 = 1 then substring(text, 1, 20) end as source_file from benchmark")
+@query("dex_classes", "select item_id, 'Lpkg/Item' || item_id || ';' as class, 'Ljava/lang/Object;' as superclass, case when item_id % 2 = 1 then text end as source_file from benchmark")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _executables(spark, sf_dir).classes().select("item_id", "class", "superclass", "source_file")
 
@@ -320,7 +378,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _executables(spark, sf_dir).members().select("item_id", "kind", "name", "access_flags")
 
 
-@query("dex_operands", "select item_id, unnest([0, 1, 2, 3]) as place, unnest(['const-string', 'iget', 'invoke-virtual', 'return-void']) as operation, unnest([substring(text, 1, 20), 'Lpkg/Item' || item_id || ';->count:I', 'Lpkg/Item' || item_id || ';->run(ILpkg/Item' || item_id || ';)V', null]) as operand from benchmark")
+@query("dex_operands", "select item_id, unnest([0, 1, 2, 3]) as place, unnest(['const-string', 'iget', 'invoke-virtual', 'return-void']) as operation, unnest([text, 'Lpkg/Item' || item_id || ';->count:I', 'Lpkg/Item' || item_id || ';->run(ILpkg/Item' || item_id || ';)V', null]) as operand from benchmark")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _executables(spark, sf_dir).instructions().select("item_id", "place", "operation", "operand")
 
@@ -374,8 +432,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(t(spark, sf_dir, "benchmark"), "item_id", "text", same, "string").select("item_id", C("data").cast("boolean").alias("same"))
 
 def _java(k: int, x: str) -> str:
-    """A class for each item: a field for each of the text's first words, a method that returns how many there are."""
-    fields = "".join(f"  private static final String W{i} = \"{w}\";\n" for i, w in enumerate(x.replace('"', "").replace("\\", "").split()[: k % 9 + 1]))
+    """A class for each item: a field for each of the text's words, a method that returns how many there are."""
+    fields = "".join(f"  private static final String W{i} = \"{w}\";\n" for i, w in enumerate(x.replace('"', "").replace("\\", "").split()))
     return f"package p;\nimport java.util.*;\n/** {k} */\npublic class Item{k} extends Object {{\n{fields}  int count(List<Map<String, int[]>> m) {{ for (int i = 0; i < {k}; i++) if (m == null) return i >> 1; return {k}; }}\n}}\n"
 
 
@@ -384,7 +442,7 @@ def _zig(k: int, x: str) -> str:
 
 
 @query("java_fields", """with w as (select item_id, string_split_regex(trim(replace(replace(text, '"', ''), '\\', ''), E' \\n\\r\\t'), '\\s+') as w from benchmark), e as (select item_id, unnest(w) as value, generate_subscripts(w, 1) as i from w)
-select item_id, ('W' || (i - 1)) as name, value from e where i <= item_id % 9 + 1""")
+select item_id, ('W' || (i - 1)) as name, value from e""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = tables.node_table(_written(t(spark, sf_dir, "benchmark"), "item_id", "text", _java, "string"), "item_id", "data", "java").where("type in ('VariableDeclarator', 'SimpleName', 'StringLiteralExpr') or field in ('identifier', 'value')")
     up = lambda kind, field: nodes.where(C("type") == kind).select("item_id", C("node_id").alias("me"), C("parent_id").alias("up")).join(nodes.where(C("field") == field).select("item_id", C("parent_id").alias("me"), "value"), ["item_id", "me"]).drop("me")
@@ -419,7 +477,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _javascript(k: int, x: str) -> str:
-    return f"'use strict';\nclass Item{k} {{ static id = {k}; get half() {{ return this.n / 2 }} }}\nconst words = [{', '.join(repr(w) for w in x.split()[:9] if w.isalpha())}]\nfor (const w of words) if (/^a/.test(w)) console.log(`${{w}} ${{w.length > {k} ? 'long' : 'short'}}`)\n"
+    return f"'use strict';\nclass Item{k} {{ static id = {k}; get half() {{ return this.n / 2 }} }}\nconst words = [{', '.join(repr(w) for w in x.split())}]\nfor (const w of words) if (/^a/.test(w)) console.log(`${{w}} ${{w.length > {k} ? 'long' : 'short'}}`)\n"
 
 
 @query("javascript_round_trip", "select item_id, true as same from benchmark")
@@ -442,7 +500,7 @@ def _smali(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A class for each item with a field that holds the item's id and a method that counts down from it."""
 
     def write(k: int, x: str) -> str:
-        literal = x[:12].replace("\\", "").replace('"', "").replace("\n", " ")
+        literal = x.replace("\\", "").replace('"', "").replace("\n", " ")
         body = f'    .locals 1\n    const/16 v0, {k % 1000:#x}\n    :top\n    const-string p1, "{literal}"\n    if-lez v0, :out\n    add-int/lit8 v0, v0, -0x1\n    goto :top\n    :out\n    return-void\n    .catchall {{:top .. :out}} :out\n'
         return f'.class public Lpkg/Item{k};\n.super Ljava/lang/Object;\n.source "{k}.java"\n\n.field static final ID:J = {k:#x}L\n\n.method private run(JLjava/lang/String;)V\n{body}.end method\n'
 

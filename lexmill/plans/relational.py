@@ -50,9 +50,41 @@ def address_join(sources: DataFrame, target: str, places: DataFrame, offset: str
 
 
 def dictionary(df: DataFrame, key: str, order: str, name: str = "code") -> DataFrame:
-    """(key, first, code): distinct keys numbered densely in the order they are first seen. The pool is aggregated before it is numbered."""
+    """(key, first, code): distinct keys numbered densely in the order they are first seen (a number or time; ties by key).
+
+    The pool is aggregated, dealt into ranges of the order by its quantiles, and numbered within each range behind the
+    counts of the ranges before; no task has the whole pool. The driver gets the quantiles, fewer than shuffle partitions.
+    """
+    spark = df.sparkSession
     first = df.groupBy(key).agg(F.min(order).alias("first"))
-    return first.withColumn(name, F.row_number().over(Window.orderBy("first", key)) - 1)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    place = F.col("first").cast("double")
+    bounds = sorted(set(first.select(place.alias("p")).approxQuantile("p", [i / parts for i in range(1, parts)], 0.01))) if parts > 1 else []
+    cuts = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
+    ranged = first.withColumn("__range", F.size(F.filter(cuts, lambda b: b < place)))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("n")).select(F.col("__range").alias("__r"), (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("__ahead"))  # a row for each range
+    numbered = ranged.join(F.broadcast(sizes), F.col("__range") == F.col("__r"))
+    here = F.row_number().over(Window.partitionBy("__range").orderBy("first", key)) - 1
+    return numbered.withColumn(name, (here + F.col("__ahead")).cast("int")).select(key, "first", name)
+
+
+def any_and_all(df: DataFrame, by: Sequence[str], tests: dict[str, object]) -> DataFrame:
+    """by, and for each test whether it holds for any and for all rows of the group; null tests count as false."""
+    held = {k: F.coalesce(v, F.lit(False)) for k, v in tests.items()}
+    return df.groupBy(*by).agg(*(f(v).alias(f"{word}_{k}") for k, v in held.items() for word, f in (("any", F.bool_or), ("all", F.bool_and))))
+
+
+def first_match(df: DataFrame, by: Sequence[str], test: object, order: str, value: str) -> DataFrame:
+    """by and the value of each group's first row in order that passes the test; groups without one are left out."""
+    return df.where(test).groupBy(*by).agg(F.min_by(value, order).alias(value))
+
+
+def upsert(base: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
+    """base with the last change of each key in place of its row, and the rows of new keys; order is left out of both."""
+    names = [c for c in base.columns if c not in (key, order)]
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*names), order).alias("__new"))
+    merged = base.select(key, F.struct(*names).alias("__old")).join(last, key, "full")
+    return merged.select(key, F.coalesce("__new", "__old").alias("x")).select(key, "x.*")
 
 
 def best_failures(df: DataFrame, by: Sequence[str], measure: str) -> DataFrame:

@@ -5,7 +5,7 @@
    group. Groups so hold similar documents, and need no pairs within. The leaders are those first in several orders of
    the ids, since one of them may be too far from the others.
 3. The matrix: the tokens that the members of each group have in their prefixes, united by group. Prefixes follow one
-   global order, rare tokens first, and are longer than the least by n // 25 tokens, so that a pair that links has at
+   global order, rare tokens first, and are longer than the least by n // SLACK tokens, so that a pair that links has at
    least that many of them in common, early enough in both orders to leave room for the rest of the overlap. A
    document's bound for a group is how many such tokens of its prefix the group's union holds; groups below the bound
    stay closed.
@@ -33,6 +33,8 @@ BLOCK_BYTES = 800_000
 PART_BYTES = 8_000_000
 #: Minima of a set that grouping looks at, and how many must agree with the leader.
 MINIMA, AGREE = 8, 2
+#: Prefixes are longer than the least by one token for so many.
+SLACK = 100
 #: Each order of ids is by an id's bits after exclusive or with one of these; its first is a leader.
 LEADERS = (0, 0x2AAAAAAAAAAAAAAA, 0x1999666699996666, 0x0F1E2D3C4B5A6978)
 #: Documents, and shingles, of a block on either side of a comparison (one document at least).
@@ -122,7 +124,7 @@ def need(n: int, percent: int) -> int:
 
 def slack(n: int) -> int:
     """How many prefix tokens two linked sets must share, the smaller of which has n tokens."""
-    return n // 25 + 1
+    return n // SLACK + 1
 
 
 def _sketch(k: int):  # noqa: ANN202
@@ -396,7 +398,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     prefixes = texts.join(side, F.col("id") == F.col("__m")).select("id", "text", "g", "gs").mapInArrow(_prefixes(k, percent, levels), "token long, q long, n int, rest int, g long, gs long")
     hits = prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_matrix(percent), "q long, n long, g long")
     least_n = F.floor((F.col("n") * percent + 99) / 100)
-    found = hits.groupBy("q", "n", "g").count().where(F.col("count") >= F.floor(least_n / 25) + 1).select("q", "n", "g")
+    found = hits.groupBy("q", "n", "g").count().where(F.col("count") >= F.floor(least_n / SLACK) + 1).select("q", "n", "g")
     found = cut(found)
     second = open_groups(found, nodes.select("g", "m", "n"), texts, k, percent)
 

@@ -210,6 +210,22 @@ def test_quality(spark, docs, odd):
     assert set(crf_quality.score_texts(["a", "b c"], flat).tolist()) == {0.5}
 
 
+def test_quality_labels_lines(spark):
+    """A good document with a block of junk in it: low marginals in the block, high ones elsewhere."""
+    base = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    model = crf_quality.train(docs, spark.read.parquet(f"{base}/labels.parquet"))
+    held = docs.join(spark.read.parquet(f"{base}/labels.parquet").where("toxic = 0"), "doc_id").where("crc32(cast(doc_id as string)) % 4 = 2").orderBy("doc_id").collect()
+    junk = [x for r in held if not r.quality for x in r.text.split("\n") if x.count("!!") + x.count("***") + x.count("$$$") > 5][:12]
+    good = [[x for x in r.text.split("\n") if len(x.split()) > 3] for r in held if r.quality]
+    inside, outside = [], []
+    for lines in [g for g in good if len(g) >= 6][:12]:
+        p = crf_quality.line_marginals("\n".join([*lines[:3], *junk[:3], *lines[3:6]]), model)
+        inside += p[3:6].tolist()
+        outside += [*p[:3].tolist(), *p[6:9].tolist()]
+    assert len(junk) >= 3 and np.mean(inside) < 0.4 and np.mean(outside) > 0.8
+
+
 def test_toxicity(spark, docs, odd):
     base = "/root/testdata/sf0.01"
     labels, table = spark.read.parquet(f"{base}/labels.parquet"), spark.read.parquet(f"{base}/documents.parquet")

@@ -189,28 +189,39 @@ def token_levels(raw: DataFrame) -> np.ndarray:
 
 
 def _prefixes(k: int, percent: int, levels: np.ndarray):  # noqa: ANN202
-    """Rows (token, q, n, rest, g, gs) of the prefix tokens of each document; rest: tokens that come later in its order.
+    """(q, n, tokens) of each document: its number of shingles and the tokens of its prefix, in order.
 
     The order is by the level of a token's class, then by token: the same for all documents, so any levels are exact.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, g, gs = (b.column(c).to_numpy() for c in (0, 2, 3))
             for i, j, texts in text_blocks(b.column(1), BLOCK_BYTES):
-                out, times, sizes = [], [], []
+                out, sizes = [], []
                 for s in sets(texts, k):
                     n = len(s)
-                    p = min(n, n - need(n, percent) + slack(n))
-                    out.append(s[np.argsort(levels[_class_of(s)], kind="stable")][:p])
-                    times.append(len(out[-1]))
+                    out.append(s[np.argsort(levels[_class_of(s)], kind="stable")][: min(n, n - need(n, percent) + slack(n))])
                     sizes.append(n)
-                rep = lambda x: np.repeat(x, times)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(rep(ids[i:j])), pa.array(rep(np.array(sizes, np.int32))), pa.array(np.concatenate([np.arange(n - 1, n - 1 - t, -1, dtype=np.int32) for n, t in zip(sizes, times, strict=True)])), pa.array(rep(g[i:j])), pa.array(rep(gs[i:j]))], names=["token", "q", "n", "rest", "g", "gs"])
+                ends = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
+                tokens = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes, pa.int32()), tokens], names=["q", "n", "tokens"])
 
     return run
 
 
+def prefix_tokens(texts: DataFrame, side: DataFrame, fits: bool, k: int, percent: int, levels: np.ndarray) -> DataFrame:
+    """Rows (token, q, n, rest, g, gs) of the prefix tokens of the documents in side (__m, g, gs); rest: tokens that come later in a document's order.
+
+    Where side isn't small enough for a broadcast, the prefixes move to it, not the texts.
+    """
+    ids, few = (side, True) if fits else small(side.select("__m").distinct())
+    if few:
+        texts = texts.join(ids, F.col("id") == F.col("__m"), "left_semi")
+    own = texts.where("id is not null").mapInArrow(_prefixes(k, percent, levels), "q long, n int, tokens array<long>")
+    placed = own.join(side, F.col("q") == F.col("__m")).select("q", "n", "g", "gs", F.posexplode("tokens").alias("at", "token"))
+    return placed.select("token", "q", "n", (F.col("n") - 1 - F.col("at")).alias("rest"), "g", "gs")
+
+
 def _matrix(percent: int):  # noqa: ANN202
     """From rows sorted by token: (q, n, g) for each token of q that another group's prefix union holds; q is of the smaller group."""
 
@@ -391,11 +402,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     grouped = components(open_leaders(cut(near), texts, k, percent))
     nodes = cut(sizes.join(grouped, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("m"), "n", F.coalesce("component", "rep").alias("g")))
     counts = nodes.groupBy("g").agg(F.count("*").alias("gs")).select(F.col("g").alias("__g"), "gs")
-    side, _ = small(nodes.join(counts, F.col("g") == F.col("__g")).select(F.col("m").alias("__m"), "g", "gs"))
+    side, fits = small(nodes.join(counts, F.col("g") == F.col("__g")).select(F.col("m").alias("__m"), "g", "gs"))
     levels = token_levels(raw)
 
     # the matrix, and what qualifies
-    prefixes = texts.join(side, F.col("id") == F.col("__m")).select("id", "text", "g", "gs").mapInArrow(_prefixes(k, percent, levels), "token long, q long, n int, rest int, g long, gs long")
+    prefixes = prefix_tokens(texts, side, fits, k, percent, levels)
     hits = prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_matrix(percent), "q long, n long, g long")
     least_n = F.floor((F.col("n") * percent + 99) / 100)
     found = hits.groupBy("q", "n", "g").count().where(F.col("count") >= F.floor(least_n / SLACK) + 1).select("q", "n", "g")

@@ -79,6 +79,14 @@ def test_jaccard_of_all(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in entry_queries.op8_ngram_jaccard_join(spark, SF).collect()} == brute(rows, 4, 85)
 
 
+def test_jaccard_without_broadcasts(docs, odd, monkeypatch):
+    measured = jaccard_join.small
+    monkeypatch.setattr(jaccard_join, "small", lambda df: measured(df, 0))
+    rows = family(3) + [(1000 + i, t) for i, t in odd if i is not None and i != 4]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs([*rows, (None, "nobody")])).where("doc_id is not null").collect()}
+    assert got == brute(rows, 4, 85)
+
+
 def test_jaccard_edges(docs, odd):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.jaccard_components(docs(odd)).collect())
     assert len(got) == len(odd)

@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small, splitmix, text_blocks
+from .common import components, cut, runs, small, splitmix, text_blocks
 
 BLOCK_BYTES = 800_000
 #: Texts beyond so many bytes are shingled in parts that overlap by a shingle less a word, so memory doesn't follow a text's length.
@@ -42,6 +43,10 @@ SIDE, SIDE_SHINGLES = 256, 400_000
 #: A block of documents reports the tokens that so many different sets of it hold. Reports are summed by hash class;
 #: every task knows the classes' sums as bytes, so what it knows is of one size whatever the input.
 REPORT, CLASS_BITS = 2, 20
+#: Prefix tokens move as their low bytes: equal tokens stay equal, and different ones that become equal only cost a comparison.
+TOKEN_BYTES = 5
+#: Tokens that are packed at a time, and tokens of a bucket of the matrix, about.
+CELLS, BUCKET_CELLS = 500_000, 1 << 20
 
 _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(1, 2**63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -188,8 +193,18 @@ def token_levels(raw: DataFrame) -> np.ndarray:
     return out
 
 
+def _narrow(tokens: np.ndarray) -> bytes:
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
+
+
+def _wide(narrow: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(narrow) // TOKEN_BYTES, 8), np.uint8)
+    out[:, :TOKEN_BYTES] = narrow.reshape(-1, TOKEN_BYTES)
+    return out.view("<i8")[:, 0]
+
+
 def _prefixes(k: int, percent: int, levels: np.ndarray):  # noqa: ANN202
-    """(q, n, tokens) of each document: its number of shingles and the tokens of its prefix, in order.
+    """(q, n, tokens) of each document: its number of shingles and the tokens of its prefix, in order, TOKEN_BYTES each.
 
     The order is by the level of a token's class, then by token: the same for all documents, so any levels are exact.
     """
@@ -202,28 +217,65 @@ def _prefixes(k: int, percent: int, levels: np.ndarray):  # noqa: ANN202
                     n = len(s)
                     out.append(s[np.argsort(levels[_class_of(s)], kind="stable")][: min(n, n - need(n, percent) + slack(n))])
                     sizes.append(n)
-                ends = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
-                tokens = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out).view(np.int64)))
+                tokens = pa.array([_narrow(t) for t in out], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes, pa.int32()), tokens], names=["q", "n", "tokens"])
 
     return run
 
 
-def prefix_tokens(texts: DataFrame, side: DataFrame, fits: bool, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """Rows (token, rest, q, n, g, gs) of the prefix tokens of the documents in side (__m, g, gs); rest: tokens that come later in a document's order.
+def _packed(cells: np.ndarray) -> bytes:
+    """Columns of numbers by their bytes, all first ones, all second ones and so on, so that what hardly changes takes hardly any room."""
+    return pa.Codec("zstd").compress(np.ascontiguousarray(cells, "<i8").view(np.uint8).reshape(len(cells), -1, 8).transpose(0, 2, 1).tobytes(), asbytes=True)
+
+
+def _unpacked(cells: bytes, columns: int, rows: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(cells, columns * rows * 8, asbytes=True), np.uint8)
+    return planes.reshape(columns, 8, rows).transpose(0, 2, 1).copy().view("<i8")[:, :, 0]
+
+
+def _deal(buckets: int):  # noqa: ANN202
+    """From rows (q, n, g, gs, tokens): rows (bucket, size, cells), a bucket's tokens with all that _matrix needs to know of them.
+
+    Cells are (token, step of q, n, place in q's order, g - q, gs); steps and differences may wrap.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = pc.binary_length(b.column("tokens")).to_numpy() // TOKEN_BYTES
+            q, n, g, gs = (b.column(c).to_numpy().astype(np.int64) for c in ("q", "n", "g", "gs"))
+            for i, j in runs(sizes.tolist(), CELLS):
+                token = _wide(np.frombuffer(b"".join(b.column("tokens").slice(i, j - i).to_pylist()), np.uint8))
+                ends = np.cumsum(sizes[i:j])
+                doc, at = np.repeat(np.arange(i, j), sizes[i:j]), np.arange(len(token)) - np.repeat(ends - sizes[i:j], sizes[i:j])
+                of = token & (buckets - 1)
+                order = np.argsort(of, kind="stable")
+                of, token, doc, at = of[order], token[order], doc[order], at[order]
+                lead = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else of
+                stop = np.concatenate((lead[1:], [len(of)])) if len(of) else of
+                cells = []
+                for x, y in zip(lead, stop, strict=True):
+                    d = doc[x:y]
+                    cells.append(_packed(np.stack([token[x:y], np.diff(q[d], prepend=0), n[d], at[x:y], g[d] - q[d], gs[d]])))
+                yield pa.RecordBatch.from_arrays([pa.array(of[lead], pa.int32()), pa.array(stop - lead, pa.int32()), pa.array(cells, pa.binary())], names=["bucket", "size", "cells"])
+
+    return run
+
+
+def prefix_tokens(texts: DataFrame, side: DataFrame, fits: bool, k: int, percent: int, levels: np.ndarray, buckets: int) -> DataFrame:
+    """Rows (bucket, size, cells) of the prefix tokens of the documents in side (__m, g, gs), as _deal packs them.
 
     Where side isn't small enough for a broadcast, the prefixes move to it, not the texts.
     """
     ids, few = (side, True) if fits else small(side.select("__m").distinct())
     if few:
         texts = texts.join(ids, F.col("id") == F.col("__m"), "left_semi")
-    own = texts.where("id is not null").mapInArrow(_prefixes(k, percent, levels), "q long, n int, tokens array<long>")
-    placed = own.join(side, F.col("q") == F.col("__m")).select("q", "n", "g", "gs", F.posexplode("tokens").alias("at", "token"))
-    return placed.select("token", (F.col("n") - 1 - F.col("at")).alias("rest"), "q", "n", "g", "gs")  # what changes from row to row stands together, and packs better
+    own = texts.where("id is not null").mapInArrow(_prefixes(k, percent, levels), "q long, n int, tokens binary")
+    placed = own.join(side, F.col("q") == F.col("__m")).select("q", "n", "g", "gs", "tokens")
+    return placed.mapInArrow(_deal(buckets), "bucket int, size int, cells binary")
 
 
 def _matrix(percent: int):  # noqa: ANN202
-    """From rows sorted by token: (q, n, g) for each token of q that another group's prefix union holds; q is of the smaller group."""
+    """From rows of _deal sorted by bucket: (q, n, g) for each token of q that another group's prefix union holds; q is of the smaller group."""
 
     def fits(n: np.ndarray, rest: np.ndarray, other: np.ndarray, other_rest: np.ndarray, spare: int = 0) -> np.ndarray:
         """Can this be one of the first shared tokens of a link? Of the first slack() ones, each leaves room for the rest of the overlap."""
@@ -252,11 +304,14 @@ def _matrix(percent: int):  # noqa: ANN202
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        names = ("token", "q", "n", "rest", "g", "gs")
-
-        def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            token, q, n, rest, g, gs = cols
+        def emit(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            token, q, n, at, g, gs = np.concatenate(parts, axis=1)
+            order = np.argsort(token, kind="stable")
+            token = token[order]
+            again = token[1:] == token[:-1]
+            twice = np.concatenate((again, [False])) | np.concatenate(([False], again))
+            order, token = order[twice], token[twice]
+            q, n, rest, g, gs = q[order], n[order], (n - 1 - at)[order], g[order], gs[order]  # rest: tokens that come later in q's order
             if not len(token):
                 return
             lead = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
@@ -274,13 +329,17 @@ def _matrix(percent: int):  # noqa: ANN202
             for lo in range(0, rows.shape[1], 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(r[lo : lo + (1 << 17)]) for r in rows], names=["q", "n", "g"])
 
+        held, last = [], None
         for b in batches:
-            new = [b.column(c).to_numpy() for c in names]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            yield from emit([c[:done] for c in held])
-            held = [c[done:] for c in held]
-        if held is not None:
+            for bucket, size, cells in zip(*(b.column(c).to_pylist() for c in ("bucket", "size", "cells")), strict=True):
+                if held and bucket != last:
+                    yield from emit(held)
+                    held = []
+                part, last = _unpacked(cells, 6, size), bucket
+                part[1] = np.cumsum(part[1])
+                part[4] += part[1]
+                held.append(part)
+        if held:
             yield from emit(held)
 
     return run
@@ -338,14 +397,14 @@ def _blocks(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / SIDE), F.ceil(F.sum("n") / SIDE_SHINGLES)).cast("int").alias("nb"))
 
 
-def _links(tasks: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b), a spanning set of each block, for tasks (g, level, b, s, id, asks); each block brings its texts once."""
+def _links(tasks: DataFrame, texts: DataFrame, k: int, percent: int, by: list[str]) -> DataFrame:
+    """Links (a, b), a spanning set of each block, for tasks (by, id, asks); each block brings its texts once."""
     side, fits = small(tasks.withColumnRenamed("id", "__id"))
     if not fits:
         ids, _ = small(side.select(F.col("__id").alias("__t")).distinct())
         texts = texts.join(ids, F.col("id") == F.col("__t"), "left_semi")
-    rows = texts.join(side, F.col("id") == F.col("__id")).select("g", "level", "b", "s", "id", "asks", "text")
-    return rows.groupBy("g", "level", "b", "s").applyInArrow(_open(k, percent), "a long, b long").where("a <> b").distinct()
+    rows = texts.join(side, F.col("id") == F.col("__id")).select(*by, "id", "asks", "text")
+    return rows.groupBy(*by).applyInArrow(_open(k, percent), "a long, b long").where("a <> b").distinct()
 
 
 def open_leaders(candidates: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -353,7 +412,7 @@ def open_leaders(candidates: DataFrame, texts: DataFrame, k: int, percent: int)
     blocks, _ = small(_blocks(candidates, "g").withColumnRenamed("g", "__g"))
     ask = candidates.join(blocks, F.col("g") == F.col("__g")).select("g", F.pmod(F.xxhash64("q"), F.col("nb")).cast("int").alias("s"), F.col("q").alias("id"), F.lit(True).alias("asks"))
     lead = blocks.select(F.col("__g").alias("g"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("s"), F.col("__g").alias("id"), F.lit(False).alias("asks"))
-    return _links(ask.union(lead).select("g", F.lit(0).alias("level"), F.lit(0).alias("b"), "s", "id", "asks"), texts, k, percent)
+    return _links(ask.union(lead), texts, k, percent, ["g", "s"])
 
 
 def open_groups(candidates: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -370,7 +429,7 @@ def open_groups(candidates: DataFrame, members: DataFrame, texts: DataFrame, k:
     mine = mine.join(per, ["g", "level"]).select("g", "level", F.pmod(F.xxhash64("m"), F.col("nb")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("s"), F.col("m").alias("id"), F.lit(False).alias("asks"))
     ask = candidates.join(asked, F.col("g") == F.col("__g")).select("g", "q", F.explode(F.array(level - 1, level, level + 1)).alias("level"), F.pmod(F.xxhash64("q"), F.col("nq")).cast("int").alias("s"))
     ask = ask.join(per, ["g", "level"]).select("g", "level", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), "s", F.col("q").alias("id"), F.lit(True).alias("asks"))
-    return _links(mine.join(ask.select("g", "level", "b", "s").distinct(), ["g", "level", "b", "s"], "left_semi").union(ask), texts, k, percent)
+    return _links(mine.join(ask.select("g", "level", "b", "s").distinct(), ["g", "level", "b", "s"], "left_semi").union(ask), texts, k, percent, ["g", "level", "b", "s"])
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -394,10 +453,13 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     large = classes.where(F.col("n") >= least).select("rep", "n", "keys")
 
     # groups
-    keyed = large.select("rep", "n", F.posexplode("keys").alias("j", "key"))
-    mixed = [(F.min(F.col("rep").bitwiseXOR(F.lit(m)))).bitwiseXOR(F.lit(m)) for m in LEADERS]
-    leaders = keyed.groupBy("j", "key").agg(F.array_distinct(F.array(*mixed)).alias("gs"), F.count("*").alias("c")).where("c > 1").select("j", "key", "gs")
-    near = keyed.join(leaders, ["j", "key"]).select("rep", "n", F.explode("gs").alias("g")).where("rep <> g").groupBy("rep", "n", "g").count().where(F.col("count") >= AGREE).select(F.col("rep").alias("q"), "n", "g")
+    keyed = large.select("rep", "n", F.posexplode("keys").alias("j", "key")).repartition("j", "key")  # rows are slimmer than partial leaders
+    firsts = [F.min(F.struct(F.col("rep").bitwiseXOR(F.lit(m)).alias("x"), "n")) for m in LEADERS]
+    firsts = F.array_distinct(F.array(*(F.struct(f["x"].bitwiseXOR(F.lit(m)).alias("g"), f["n"].alias("gn")) for f, m in zip(firsts, LEADERS, strict=True))))
+    leaders = keyed.groupBy("j", "key").agg(firsts.alias("gs"), F.count("*").alias("c")).where("c > 1").select("j", "key", "gs")
+    agree = keyed.join(leaders, ["j", "key"]).select("rep", "n", F.inline("gs")).where("rep <> g")
+    agree = agree.where(100 * F.least("n", "gn") >= percent * F.greatest("n", "gn"))  # by size alone the others can't link
+    near = agree.groupBy("rep", "n", "g").count().where(F.col("count") >= AGREE).select(F.col("rep").alias("q"), "n", "g")
     sizes = large.groupBy("rep").agg(F.max("n").alias("n"))
     grouped = components(open_leaders(cut(near), texts, k, percent))
     nodes = cut(sizes.join(grouped, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("m"), "n", F.coalesce("component", "rep").alias("g")))
@@ -406,8 +468,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     levels = token_levels(raw)
 
     # the matrix, and what qualifies
-    prefixes = prefix_tokens(texts, side, fits, k, percent, levels)
-    hits = prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_matrix(percent), "q long, n long, g long")
+    tokens = nodes.agg(F.sum(F.col("n") * (101 - percent) / 100 + 2)).first()[0]
+    prefixes = prefix_tokens(texts, side, fits, k, percent, levels, 1 << max(8, (int(tokens or 0) // BUCKET_CELLS).bit_length()))
+    hits = prefixes.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_matrix(percent), "q long, n long, g long")
     least_n = F.floor((F.col("n") * percent + 99) / 100)
     found = hits.groupBy("q", "n", "g").count().where(F.col("count") >= F.floor(least_n / SLACK) + 1).select("q", "n", "g")
     found = cut(found)

@@ -87,6 +87,54 @@ def test_jaccard_without_broadcasts(docs, odd, monkeypatch):
     assert got == brute(rows, 4, 85)
 
 
+def shuffled(spark):
+    """Bytes written to shuffles, by stage."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_matrix_moves_little(spark, docs):
+    """Below 10 bytes a token with its document and group."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(600))) for i in range(400)]
+    texts = docs(rows).coalesce(1).select(F.col("doc_id").alias("id"), "text").checkpoint()
+    side = F.broadcast(texts.select(F.col("id").alias("__m"), F.col("id").alias("g"), F.lit(1).alias("gs")))
+    tokens = 400 * (597 - jaccard_join.need(597, 85) + jaccard_join.slack(597))
+    dealt = jaccard_join.prefix_tokens(texts, side, True, 4, 85, np.zeros(1 << jaccard_join.CLASS_BITS, np.uint8), 8).repartition("bucket")
+    assert sum(r["size"] for r in dealt.select("size").collect()) == tokens
+    was = shuffled(spark)
+    assert dealt.mapInArrow(jaccard_join._matrix(85), "q long, n long, g long").count() == 0
+    assert sum(v for k, v in shuffled(spark).items() if k not in was) < 10 * tokens
+
+
+def test_matrix_from_packed_tokens():
+    """Any ids pack, in several pieces; tokens that share their low bytes only are met as well."""
+    import pyarrow as pa
+
+    low, far = 7, 7 + (1 << 8 * jaccard_join.TOKEN_BYTES)
+    rows = [(2**63 - 1, 6, -(2**63), 2, [low, 1]), (-(2**63), 6, -(2**63), 2, [2, low]), (5, 6, 5, 1, [far, 3]), (6, 6, 6, 1, [4])]
+    q, n, g, gs, tokens = zip(*rows)
+    narrow = [jaccard_join._narrow(np.array(t, np.uint64)) for t in tokens]
+    placed = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 2], t) for x, t in ((q, pa.int64()), (n, pa.int32()), (g, pa.int64()), (gs, pa.int64()), (narrow, pa.binary()))], names=["q", "n", "g", "gs", "tokens"]) for i in (0, 2)]
+    dealt = pa.Table.from_batches(jaccard_join._deal(256)(iter(placed))).sort_by("bucket")
+    assert sum(dealt["size"].to_pylist()) == 7
+    got = [r for b in jaccard_join._matrix(85)(iter(dealt.to_batches())) for r in zip(*(b.column(c).to_pylist() for c in ("q", "n", "g")))]
+    assert got == [(5, 6, -(2**63))]
+
+
+def test_leaders_of_other_sizes_are_not_asked(docs, monkeypatch):
+    """A text inside one twice as long agrees on minima, but is no candidate of its group."""
+    asked, real = [], jaccard_join.open_leaders
+    monkeypatch.setattr(jaccard_join, "open_leaders", lambda near, *a: asked.extend(map(tuple, near.collect())) or real(near, *a))
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:200])), (3, " ".join([*words[:199], "x"]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs(rows)).collect()}
+    assert got == brute(rows, 4, 85)
+    assert asked and all({q, g} == {2, 3} for q, _, g in asked)
+
+
 def test_jaccard_edges(docs, odd):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.jaccard_components(docs(odd)).collect())
     assert len(got) == len(odd)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import crf_quality, decontaminate, jaccard_join, packing, toxicity
-from lexmill.llm.common import cut, ensure_checkpoint_dir, small, table
+from lexmill.llm.common import ensure_checkpoint_dir, small, table
 
 #: Near duplicates: words of a shingle and least similarity in percent.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -33,7 +33,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Every row is a document of its own, whatever its id. Texts without words are no duplicates.
     """
-    keyed = cut(docs.withColumn("__row", F.monotonically_increasing_id()))  # numbered once, so that all scans agree
+    at = f"{ensure_checkpoint_dir(spark)}/rows-{uuid.uuid4().hex}"
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(at)  # numbered once, so that all scans agree
+    keyed = spark.read.parquet(at)
     groups = jaccard_join.jaccard_components(keyed, NEAR_WORDS, NEAR_PERCENT, id_col="__row")
     several = groups.join(keyed.select(F.col("__row").alias("__r"), "doc_id"), F.col("__row") == F.col("__r"))
     first = several.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("f"), F.count("*").alias("n"))

@@ -1,5 +1,6 @@
 """Operators on pairs against brute force."""
 
+import pathlib
 import random
 from itertools import combinations
 
@@ -149,6 +150,17 @@ def test_jaccard_repeated_id(docs):
     assert {r.component_id for r in got} == {2}
 
 
+def test_near_duplicate_stage_keeps_texts_compressed(spark, docs):
+    """What the stage leaves in the shared folder is below half of the texts."""
+    root = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    disk = lambda: sum(p.stat().st_size for p in root.rglob("*") if p.is_file())
+    rng, before = random.Random(9), disk()
+    rows = [(i, " ".join(f"word{rng.randrange(3000)}" for _ in range(3000))) for i in range(150)] + [(200, None), (None, "")]
+    left = corpus_pipeline.near_duplicate_stage(spark, docs([*rows, (300, rows[0][1])]), "")
+    assert sorted(map(str, (r.doc_id for r in left.collect()))) == sorted(str(i) for i, _ in rows)
+    assert disk() - before < sum(len(t or "") for _, t in rows) / 2
+
+
 def test_large_group_of_near_copies(docs):
     """More members than a block holds, and an outsider that links with one of them."""
     rng = random.Random(4)

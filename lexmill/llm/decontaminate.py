@@ -22,12 +22,19 @@ def words_of(text: Column) -> Column:
 
 
 def _seed_rows(df: DataFrame, keep: list[str], masks: list[str]) -> DataFrame:
-    """keep, position and seed of each seed of column `hashes`."""
-    rows = [df.select(*keep, F.posexplode(_dense(m, mask)).alias("pos", "seed")) for m, mask in enumerate(masks)]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out
+    """keep, position and seed of each seed of column `hashes`, none where it is null or holds fewer tokens than a mask.
+
+    Each token is a row before its seeds are made: over columns of a row they are compiled, within an array interpreted.
+    """
+    places = F.array_repeat(F.lit(0), F.size("hashes"))  # not hashes itself: Spark would filter by its size and make it twice
+    rows = df.select(*keep, "hashes", F.posexplode(places).alias("pos", "__0"))
+    return rows.select(*keep, "pos", F.explode(F.array(*(_seed(m, mask) for m, mask in enumerate(masks)))).alias("seed")).where("seed is not null")
+
+
+def _seed(m: int, mask: str) -> Column:
+    """Seed of one mask at `pos` of `hashes`, null if too few tokens are left."""
+    picked = ", ".join(f"get(hashes, pos + {k})" for k, c in enumerate(mask) if c == "1")
+    return F.expr(f"if(pos + {len(mask)} <= size(hashes), xxhash64({picked}, {m}), null)")
 
 
 def _let(value: Column, body) -> Column:  # noqa: ANN001
@@ -96,19 +103,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     marks, _ = small(marks)
 
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
-    # seeds of one document as one array, so that its tokens are made once
-    coded = texts.select("__doc", hashed(F.split(F.lower("__text"), r"[^\p{L}\p{N}]+")).alias("raw")).where("raw is not null")
+    coded = texts.select("__doc", hashed(F.split(F.lower("__text"), r"[^\p{L}\p{N}]+")).alias("raw"))
     empty = F.xxhash64(F.lit(""))
     coded = coded.select("__doc", F.filter("raw", lambda h: h != empty).alias("hashes"))
-    rows = coded.select("__doc", F.posexplode(F.flatten(F.array(*(_dense(m, mask) for m, mask in enumerate(every))))).alias("__k", "seed"), F.size("hashes").alias("__size"))
-    hits = rows.join(marks, "seed")
-    # the place in the flattened array gives mask and position
-    pos, offset = F.lit(None).cast("int"), F.lit(0)
-    for mask in every:
-        n = F.greatest(F.col("__size") - (len(mask) - 1), F.lit(0))
-        pos = F.coalesce(pos, F.when(F.col("__k") < offset + n, F.col("__k") - offset))
-        offset = offset + n
-    hits = hits.select("__doc", pos.alias("__pos"), F.explode("__where").alias("__w")).select("__doc", F.col("__w.__item").alias("__item"), (F.col("__pos") - F.col("__w.__at")).alias("__shift")).distinct()
+    hits = _seed_rows(coded, ["__doc"], every).join(marks, "seed")
+    hits = hits.select("__doc", "pos", F.explode("__where").alias("__w")).select("__doc", F.col("__w.__item").alias("__item"), (F.col("pos") - F.col("__w.__at")).alias("__shift")).distinct()
     lines, _ = small(hits.groupBy("__doc", "__item").agg(F.collect_set("__shift").alias("__shifts")).withColumnRenamed("__doc", "__d"))
     back = texts.join(lines, F.col("__doc").eqNullSafe(F.col("__d"))).select("__doc", "__item", "__shifts", words_of(F.col("__text")).alias("__tokens"))
     side, _ = small(items.select(F.col("__item").alias("__i"), "__words"))
@@ -124,12 +123,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     return top.select(F.col("__doc").alias(id_col), F.col("__item").alias(item_col), (-F.col("t.first")).alias("doc_start"), F.col("t.n_tokens").alias("n_tokens"), F.col("t.n_equal").alias("n_equal"))
 
 
-def _dense(m: int, mask: str) -> Column:
-    """Seeds of one mask at all positions of `hashes`, an empty array if there are too few tokens."""
-    picked = ", ".join(f"get(hashes, i + {k})" for k, c in enumerate(mask) if c == "1")
-    return F.expr(f"if(size(hashes) < {len(mask)}, cast(array() as array<bigint>), transform(sequence(0, size(hashes) - {len(mask)}), i -> xxhash64({picked}, {m})))")
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """The rows of docs, all columns, whose text overlaps with no item of the benchmark.
 

@@ -2,6 +2,8 @@
 
 import pathlib
 import random
+import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -285,6 +287,33 @@ def test_decontamination_with_changes_anywhere(spark, docs):
     assert all(r.n_tokens >= min(13, r.item_id) and 5 * r.n_equal >= 4 * r.n_tokens for r in got)
 
 
+def test_decontamination_seeds(spark):
+    """All places of all masks, none of null or too short lists; equal seeds only for equal tokens under the mask."""
+    rng = random.Random(8)
+    rows = dict(enumerate([None, [], [1], [1, 1], [2, 1] * 3, [*range(9)], [*range(10)], [rng.randrange(3) for _ in range(400)]]))
+    df = spark.createDataFrame(list(rows.items()), "k long, hashes array<long>")
+    masks = [*decontaminate.MASKS, "1", "111111"]
+    got = decontaminate._seed_rows(df, ["k"], masks).collect()
+    want = sorted((k, i, (m, *(h[i + j] for j, c in enumerate(mask) if c == "1"))) for k, h in rows.items() if h for m, mask in enumerate(masks) for i in range(len(h) - len(mask) + 1))
+    assert sorted((r.k, r.pos) for r in got) == [x[:2] for x in want]
+    assert len({r.seed for r in got}) == len({x[2] for x in want})
+    pairs = Counter(Counter(r.seed for r in got).values()), Counter(Counter(x[2] for x in want).values())
+    assert pairs[0] == pairs[1]
+
+
+def test_decontamination_seeds_are_compiled(spark, docs):
+    """No plan that the operator runs makes seeds inside a lambda, which Spark interprets token by token."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    seen = {e.executionId() for e in map(store.executionsList().apply, range(store.executionsList().size()))}
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20))), (2, "solo")], "item_id long, text string")
+    assert decontaminate.overlaps(docs([(1, "a " + bench.first().text), (2, "b solo")]), bench).count() == 2
+    bus.waitUntilEmpty()
+    plans = [e.physicalPlanDescription() for e in map(store.executionsList().apply, range(store.executionsList().size())) if e.executionId() not in seen]
+    seeds = [line for plan in plans for line in plan.splitlines() if re.search(r"xxhash64\(hashes", line)]
+    assert len(seeds) > 1 and not [line for line in seeds if "lambda" in line]
+
+
 def test_decontamination_of_all(spark):
     found = {(r.doc_id, r.item_id) for r in entry_queries.op5_benchmark_decontamination(spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
